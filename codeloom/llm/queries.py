@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, html_text, line_dedup, mixing, quality, token_file, url_filter
+from . import bpe, decontaminate, html_text, line_dedup, mixing, ngram_join, quality, token_file, toxicity, url_filter
 
 QUERIES = {
+    "op1_toxicity": toxicity.op1_toxicity,
     "op2_mixing": mixing.op2_mixing,
     "op3_decontaminate": decontaminate.op3_decontaminate,
     "op4_url_filter": url_filter.op4_url_filter,
@@ -13,6 +14,7 @@ QUERIES = {
     "op7_token_counts": bpe.op7_token_counts,
     "op8_line_dedup": line_dedup.op8_line_dedup,
     "op9_quality": quality.op9_quality,
+    "op10_ngram_join": ngram_join.op10_ngram_join,
 }
 
 ORACLES = {
