@@ -103,7 +103,7 @@ def mine_voters(rows: list[tuple[set[str], int]], most: int, least_docs: int = 4
     return [f for g, f in ranked[:most] if g > 8]
 
 
-def fit_linear(x: np.ndarray, target: np.ndarray, steps: int = 400, ridge: float = 2e-4) -> tuple[np.ndarray, float]:
+def fit_linear(x: np.ndarray, target: np.ndarray, steps: int = 400, ridge: float = 1e-4) -> tuple[np.ndarray, float]:
     """Logistic regression on soft labels by Adam on all rows; (weights, bias)."""
     w, b = np.zeros(x.shape[1]), 0.0
     m, v, n = np.zeros(x.shape[1] + 1), np.zeros(x.shape[1] + 1), len(x)
