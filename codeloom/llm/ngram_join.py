@@ -3,21 +3,24 @@
 Rows of the matrix are documents with distinct sets of n-grams, columns are n-grams (64-bit hashes). The columns are
 dealt to column blocks by hash, as many as the size-derived bound on the number of differing n-grams, plus one: two
 rows that meet the Jaccard bound then agree fully in at least one block, so the product is only formed between rows
-that share a block's content, and overlap counts of such rows are completed and compared with the bound. Within a
-block's content that many rows share, a row is compared with the first of them; further rows are compared only where
-links have not already brought them together.
+that share a block's content, and overlap counts of such rows are completed and compared with the bound.
+
+Many rows may share a block's content. One of them, the row that shares most blocks with others, leads: its overlaps
+with all of them are counted first. The overlap of two others, x and y, then follows from their differences from the
+leader, dx and dy: x and y differ in |dx| + |dy| - 2 |dx & dy| n-grams. If that meets the bound without a common
+difference, both meet it with the leader too; else they share at least one n-gram of a prefix of their differences,
+and only such pairs, of rows that links have not yet brought together, are counted. So a group of thousands of copies
+with edits of their own costs in proportion to its rows.
 """
 
 from __future__ import annotations
 
 import math
-from collections import OrderedDict
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,36 +30,67 @@ from .common import small_batches, stash
 NO_ID = (1 << 63) - 1
 #: Tables of ids of at most so many rows may be broadcast; larger ones are joined by shuffling.
 BROADCAST_ROWS = 500_000
-#: All pairs that are left within blocks are compared at once when they are at most this many times the rows in blocks.
-FINISH = 4
-WORD_MEMO = 500_000
+#: White space, a random number for each other byte, and powers of an odd number: words hash as polynomials.
+IS_BLANK = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+BYTE = np.where(IS_BLANK, 0, np.random.Generator(np.random.PCG64(11)).integers(1, 1 << 64, 256, dtype=np.uint64))
+ODD = 0x9E3779B97F4A7C15
 U = np.uint64
-_words: dict[bytes, int] = {}
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> U(30))) * U(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> U(27))) * U(0x94D049BB133111EB)
     return x ^ (x >> U(31))
 
 
-def gram_set(text: str | None, n: int) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the text's n-word shingles; fewer words than n make one shingle, none no set."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not words:
-        return np.zeros(0, dtype=U)
-    if len(words) < n:
-        return np.array([xxhash.xxh3_64_intdigest(b" ".join(words), seed=len(words))], dtype=U)
-    if len(_words) > WORD_MEMO:
-        _words.clear()
-    for w in set(words).difference(_words):
-        _words[w] = xxhash.xxh3_64_intdigest(w)
-    h = np.fromiter(map(_words.__getitem__, words), dtype=U, count=len(words))
-    m = len(h) - n + 1
+@lru_cache(maxsize=4)
+def powers(n: int) -> np.ndarray:
+    return np.cumprod(np.r_[U(1), np.full(n - 1, ODD, dtype=U)], dtype=U)
+
+
+def gram_sets(texts: list[str | None], n: int) -> list[np.ndarray]:
+    """For each text the sorted distinct 64-bit hashes of its n-word shingles; fewer words than n make one shingle,
+    no words an empty set. Bytes, words and shingles of all texts are hashed in whole-array steps."""
+    raw = [(t or "").encode("utf-8", "surrogatepass").lower() for t in texts]
+    data = np.frombuffer(b"\n".join([*raw, b""]), dtype=np.uint8)
+    ends = np.cumsum([len(r) + 1 for r in raw])
+    blank = IS_BLANK[data]
+    starts = np.flatnonzero(~blank & np.r_[True, blank[:-1]])
+    if not len(starts):
+        return [np.zeros(0, dtype=U) for _ in raw]
+    stops = np.flatnonzero(~blank & np.r_[blank[1:], True]) + 1
+    lengths = stops - starts
+    spots = np.arange(len(data), dtype=np.int32) - np.repeat(starts.astype(np.int32), np.diff(np.r_[starts, len(data)])) if starts[0] == 0 else None
+    if spots is None:
+        spots = np.arange(len(data), dtype=np.int32) - np.repeat(np.r_[0, starts].astype(np.int32), np.diff(np.r_[0, starts, len(data)]))
+    longest = 1 << int(lengths.max()).bit_length()
+    spots[blank] = 0
+    h = mix(np.add.reduceat(BYTE[data] * powers(longest)[np.minimum(spots, longest - 1)], starts) + lengths.astype(U))
+    bounds = np.searchsorted(starts, np.r_[0, ends])
+    m = max(0, len(h) - n + 1)
     grams = np.zeros(m, dtype=U)
     for k in range(n):
-        grams = mix(grams * U(0x9E3779B97F4A7C15) + h[k : k + m] + U(k + 1))
-    return np.unique(grams)
+        grams = mix(grams * U(ODD) + h[k : k + m] + U(k + 1))
+    out = []
+    for i, j in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+        if j - i >= n:
+            out.append(np.unique(grams[i : j - n + 1]))
+        elif j == i:
+            out.append(np.zeros(0, dtype=U))
+        else:  # the whole sequence, told apart from longer shingles by the number of its words
+            one = np.full(1, j - i, dtype=U)
+            for k in range(i, j):
+                one = mix(one * U(ODD) + h[k : k + 1] + U(1 << 32))
+            out.append(one)
+    return out
+
+
+def pieces(batch: pa.RecordBatch, column: int, size: int = 1 << 21) -> Iterator[tuple[int, list[str | None]]]:
+    """(first row, texts) of slices of a batch with at most about `size` characters each."""
+    texts, at, n = batch.column(column).to_pylist(), 0, 0
+    for i, t in enumerate(texts):
+        n += len(t or "")
+        if n >= size or i == len(texts) - 1:
+            yield at, texts[at : i + 1]
+            at, n = i + 1, 0
 
 
 @lru_cache(maxsize=None)
@@ -113,7 +147,7 @@ def document_sets(rows: DataFrame, n: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [gram_set(t, n) for t in batch.column(1).to_pylist()]
+            sets = [g for _, some in pieces(batch, 1) for g in gram_sets(some, n)]
             sums = [set_sums(s) for s in sets]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array([s[0] for s in sums], pa.int64()), pa.array([s[1] for s in sums], pa.int64()), pa.array([len(s) for s in sets], pa.int64())],
@@ -128,40 +162,55 @@ def document_keys(rows: DataFrame, n: int, pct: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = [block_keys(gram_set(t, n), pct).view(np.int64) for t in batch.column(1).to_pylist()]
+            keys = [block_keys(g, pct).view(np.int64) for _, some in pieces(batch, 1) for g in gram_sets(some, n)]
             ids = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), [len(k) for k in keys])
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *keys])), pa.array(ids, pa.int64())], ["key", "id"])
 
     return rows.mapInArrow(run, "key long, id long")
 
 
-def overlapping(pairs: DataFrame, texts: DataFrame, n: int, pct: int) -> DataFrame:
-    """The pairs (a, b) whose sets meet the bound: 100 * overlap >= pct * union."""
-    joined = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
+def slack(x: int, y: int, pct: int) -> int:
+    """The most n-grams in which sets of these sizes may differ and still meet the bound."""
+    return (x + y) * (100 - pct) // (100 + pct)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: OrderedDict[int, np.ndarray] = OrderedDict()
 
-        def grams(key: int, text: str) -> np.ndarray:
-            if key not in held:
-                held[key] = gram_set(text, n)
-                if len(held) > 64:
-                    held.popitem(last=False)
-            return held[key]
+def counted(pairs: DataFrame, texts: DataFrame, n: int, pct: int) -> DataFrame:
+    """(a, b, linked) of the pairs (a, b, more): whether 100 * overlap >= pct * union. Where `more` is set, further rows
+    have (gram, size, off, near): the prefix of its differences from a, n-grams that a lacks first, each
+    with b's size, the number of differences, and whether it is in the prefix that suffices for partners that differ
+    from a as much or more."""
+    joined = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
+    names = ["a", "b", "linked", "gram", "size", "off", "near"]
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            for a, b, ta, tb in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
-                x, y = grams(a, ta), grams(b, tb)
-                both = len(x) + len(y)
-                if 100 * min(len(x), len(y)) < pct * max(len(x), len(y)):
-                    keep.append(False)
-                    continue
-                overlap = both - len(np.unique(np.concatenate((x, y))))
-                keep.append((100 + pct) * overlap >= pct * both)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    return joined.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
+            ids = [batch.column(k).to_pylist() for k in (0, 1)]
+            right = [g for _, some in pieces(batch, 3) for g in gram_sets(some, n)]
+            lead_texts = dict(zip(ids[0], batch.column(2).to_pylist(), strict=True))
+            left = dict(zip(lead_texts, gram_sets(list(lead_texts.values()), n), strict=True))
+            cols: list[list] = [[] for _ in names]
+
+            def put(*values, cols=cols) -> None:
+                for c, v in zip(cols, values, strict=True):
+                    c.append(v)
+
+            for a, b, more, y in zip(*ids, batch.column(4).to_pylist(), right, strict=True):
+                x = left[a]
+                added, removed = np.setdiff1d(y, x, assume_unique=True), np.setdiff1d(x, y, assume_unique=True)
+                off = len(added) + len(removed)
+                linked = off <= slack(len(x), len(y), pct)
+                put(a, b, linked, None, len(y), off, None)
+                if more:
+                    most = slack(len(y), len(y) * 100 // pct, pct)
+                    near = most // 2 + 1
+                    prefix = np.concatenate((added, removed))[: most + 1].view(np.int64).tolist()
+                    size = len(prefix)
+                    for c, v in zip(cols, ([a], [b], [linked], prefix, [len(y)], [off], None), strict=True):
+                        c += v * size if v is not prefix and v is not None else prefix if v is prefix else [k < near for k in range(size)]
+            kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int32(), pa.int32(), pa.bool_())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names)
+
+    return joined.select("a", "b", "text_a", "text_b", "more").mapInArrow(run, "a long, b long, linked boolean, gram long, size int, off int, near boolean")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -179,16 +228,35 @@ def components(edges: DataFrame) -> DataFrame:
     return lab.select("node", "label")
 
 
+def second_pairs(prefixes: DataFrame, labels: DataFrame, pct: int) -> DataFrame:
+    """Pairs (a, b) of rows with a common leader that share an n-gram of the prefixes of their differences from it, may
+    meet the bound by their sizes, and are not yet in one group.
+
+    Only n-grams that two or more rows of different groups have are joined. The row that differs less from the leader
+    must have the n-gram in its near prefix. Where the differences alone are few enough, both link to the leader.
+    """
+    rows = prefixes.select(F.col("a").alias("lead"), "gram", F.col("b").alias("id"), "size", "off", "near")
+    rows = rows.join(labels, F.col("id") == F.col("node"), "left").select("lead", "gram", "id", "size", "off", "near", F.coalesce("label", "id").alias("comp"))
+    rows = stash(rows, "differences")
+    mixed = rows.groupBy("lead", "gram").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.max("near").alias("any_near")).filter("c0 <> c1 AND any_near").select("lead", "gram")
+    rows = stash(rows.join(mixed, ["lead", "gram"]), "mixed")
+    x = rows.filter("near").select("lead", "gram", *[F.col(c).alias(f"x_{c}") for c in ("id", "size", "off", "comp")])
+    y = rows.select("lead", "gram", *[F.col(c).alias(f"y_{c}") for c in ("id", "size", "off", "comp")])
+    most = (F.col("x_size") + F.col("y_size")) * (100 - pct) / (100 + pct)
+    fits = (F.col("x_comp") != F.col("y_comp")) & (F.struct("x_off", "x_id") < F.struct("y_off", "y_id")) & (F.col("y_off") - F.col("x_off") <= most) & (100 * F.least("x_size", "y_size") >= pct * F.greatest("x_size", "y_size"))
+    joined = x.join(y, (x["lead"] == y["lead"]) & (x["gram"] == y["gram"]) & fits)
+    return joined.select(F.least("x_id", "y_id").alias("a"), F.greatest("x_id", "y_id").alias("b")).distinct()
+
+
 def _sized(ids: DataFrame) -> DataFrame:
     """A written table of ids, to be broadcast only if it is small enough."""
     return F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
 
 
-def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, pct: int = 90, finish: int = FINISH) -> DataFrame:
+def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, pct: int = 90) -> DataFrame:
     """(doc_id, n_shingles, component_id): documents linked where 100 * overlap >= pct * union of their shingle sets.
 
-    No link is missed, whatever the sizes of groups: see the module's text for the blocks; comparisons stay in
-    proportion to the rows in shared blocks, in rounds. Null or empty texts have no shingles and link with nothing.
+    No link is missed, whatever the sizes of groups: see the module's text. Null or empty texts have no shingles and link with nothing.
     Rows of equal id (nulls are one id) are one document, each with its own n_shingles; its texts link together.
     Copies are one row of the matrix. A null id comes back null. Empty input gives no rows.
     """
@@ -202,44 +270,23 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     alone = rows.join(_sized(copies), "id", "left_anti")
 
     bucket = Window.partitionBy("key")
-    shared = (
-        document_keys(alone, words, pct)
-        .withColumn("n", F.count(F.lit(1)).over(bucket))
-        .withColumn("lead", F.min("id").over(bucket))
-        .filter("n > 1")
-    )
-    rest = stash(shared.select("key", "id", "lead"), "blocks")
-    size = rest.count()
-    ids = stash(rest.select("id").distinct(), "candidates")
-    texts = stash(rows.join(_sized(ids), "id", "left_semi"), "candidate-texts")
-
-    tested = links = labels = None
-    whole = False
-    while True:
-        if whole:
-            other = rest.select("key", F.col("id").alias("b"), F.col("comp").alias("comp_b"))
-            pairs = rest.withColumnRenamed("id", "a").join(other, "key").filter((F.col("a") < F.col("b")) & (F.col("comp") != F.col("comp_b")))
-        else:
-            pairs = rest.filter("id <> lead").select(F.col("lead").alias("a"), F.col("id").alias("b"), *([] if labels is None else ["comp", "lead_comp"]))
-            if labels is not None:
-                pairs = pairs.filter("comp <> lead_comp")
-        pairs = pairs.select("a", "b").distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = stash(pairs, "pairs")
-        found = stash(overlapping(pairs, texts, words, pct).distinct(), "found")
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        links = found if links is None else links.unionByName(found)
-        labels = components(links)
-        if whole:
-            break
-        rest = rest.filter("id <> lead").select("key", "id").join(labels, F.col("id") == F.col("node"), "left").select("key", "id", F.coalesce("label", "id").alias("comp"))
-        open_keys = rest.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.min(F.struct("id", "comp")).alias("first"), F.count(F.lit(1)).alias("n")).filter("c0 <> c1")
-        rest = stash(rest.join(open_keys.select("key", F.col("first.id").alias("lead"), F.col("first.comp").alias("lead_comp"), "n"), "key"), "blocks")
-        left = rest.agg(F.sum((F.col("n") - 1) / 2).alias("pairs")).first()["pairs"]
-        if not left:
-            break
-        whole = left <= finish * size
+    shared = document_keys(alone, words, pct).withColumn("n", F.count(F.lit(1)).over(bucket)).filter("n > 1")
+    shared = stash(shared, "blocks")
+    weight = shared.groupBy("id").agg(F.sum("n").alias("weight"))
+    ranked = shared.join(weight, "id").select("key", "n", F.struct("weight", (-F.col("id")).alias("id")).alias("at"))
+    leads = ranked.groupBy("key").agg((-F.max("at").getField("id")).alias("lead"), F.max("n").alias("n"))
+    led = shared.select("key", "id").join(leads, "key").filter("id <> lead")
+    pairs = stash(led.groupBy(F.col("lead").alias("a"), F.col("id").alias("b")).agg((F.max("n") > 2).alias("more")), "pairs")
+    ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
+    texts = stash(rows.join(_sized(stash(ids, "candidates")), "id", "left_semi").dropDuplicates(["id"]), "candidate-texts")
+
+    first = stash(counted(pairs, texts, words, pct), "counted")
+    links = first.filter("linked AND gram IS NULL").select("a", "b")
+    labels = components(links)
+    again = second_pairs(first.filter("gram IS NOT NULL"), labels, pct)
+    second = counted(stash(again.withColumn("more", F.lit(False)), "second-pairs"), texts, words, pct)
+    links = links.unionByName(second.filter("linked").select("a", "b"))
+    labels = components(stash(links, "all-links"))
     out = member.join(labels, F.col("rep") == F.col("node"), "left").select("id", "n_shingles", F.coalesce("label", "rep").alias("component"))
     null = lambda c: F.when(F.col(c) != NO_ID, F.col(c))
     return out.select(null("id").alias("doc_id"), "n_shingles", null("component").alias("component_id"))
