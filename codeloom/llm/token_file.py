@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import os
 import struct
 import zlib
-from array import array
-from collections.abc import Callable, Iterator
+from collections import Counter
+from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -14,7 +16,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .bpe import MEMO, Splitter, default_path
+from .bpe import byte_letters, default_path
 from .common import new_path, small_batches
 
 BLOCK = 1024
@@ -47,8 +49,9 @@ def unpack_block(image: memoryview, at: int) -> np.ndarray:
     rest = np.zeros(n, dtype=np.uint32)
     if width:
         bits = np.unpackbits(np.frombuffer(image, np.uint8, size, at), bitorder="little", count=n * width).reshape(n, width)
-        for b in range(width):
-            rest |= bits[:, b].astype(np.uint32) << np.uint32(b)
+        wide = np.zeros((n, 32), dtype=np.uint8)
+        wide[:, :width] = bits
+        rest = np.packbits(wide, axis=1, bitorder="little").view("<u4").ravel().astype(np.uint32)
     at += size
     rest[np.frombuffer(image, "<u2", n_odd, at).astype(np.int64)] = np.frombuffer(image, "<u4", n_odd, at + 2 * n_odd)
     return rest + np.uint32(low)
@@ -97,28 +100,126 @@ class Chunk:
         return flat[i - some[0] * BLOCK : j - some[0] * BLOCK]
 
 
-@lru_cache(maxsize=2)
-def encoder(path: str) -> Callable[[list[str]], list[np.ndarray]]:
-    """Texts to ids by the tokenizers library; pre-tokens that the worker has met are answered from a bounded memo."""
-    from tokenizers import Tokenizer
+#: ASCII white space as bytes, and other white space next to a blank.
+WHITE = np.array([chr(b).isspace() and b < 128 for b in range(256)])
+WIDE_PAIRS = [p for c in map(chr, range(128, 0x3001)) if c.isspace() for p in (f" {c}", f"{c} ")]
+#: Pieces that an encoder keeps, and those of them that it looks up first, as they make most of any text.
+KEPT, HOT = 700_000, 30_000
+#: Ends of pieces that are pre-tokens of their own after letters.
+TAILS = (",", ".")
+
+
+def even_texts(texts: list[str]) -> list[bool]:
+    """For each text whether every blank has characters other than white space on both sides."""
+    raw = [t.encode("utf-8", "surrogatepass") for t in texts]
+    data = np.frombuffer(b"x".join([*raw, b""]), dtype=np.uint8)
+    blank, white = data == 32, WHITE[data]
+    bad = np.flatnonzero((blank[1:] & white[:-1]) | (white[1:] & blank[:-1]))
+    uneven = set(np.searchsorted(np.cumsum([len(r) + 1 for r in raw]), bad, side="right").tolist())
+    return [i not in uneven and t[:1] not in ("", " ") and t[-1] != " " and (t.isascii() or not any(p in t for p in WIDE_PAIRS)) for i, t in enumerate(texts)]
+
 
-    library = Tokenizer.from_file(path)
-    split = Splitter({t.content: i for i, t in library.get_added_tokens_decoder().items()})
-    memo: dict[str, bytes] = {}
+class Encoder:
+    """Texts to ids by the tokenizers library, with a bounded memo of the pieces between single blanks.
 
-    def encode(texts: list[str]) -> list[np.ndarray]:
-        parts = [split(t) for t in texts]
-        fresh = list({p for part in parts for p in part}.difference(memo))
-        if len(memo) + len(fresh) > MEMO:
-            memo.clear()
-            fresh = list({p for part in parts for p in part})
-        for i in range(0, len(fresh), 20_000):
-            some = fresh[i : i + 20_000]
-            for p, e in zip(some, library.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                memo[p] = array("I", e.ids).tobytes()
-        return [np.frombuffer(b"".join(map(memo.__getitem__, part)), dtype=np.uint32) for part in parts]
+    Where every blank has other characters on both sides, pre-tokens never cross one, so a piece with the blank before
+    it has the same ids in every text. Pieces not met before are encoded together, as one text; as tokens with a
+    leading blank start the pieces, the ids fall apart again. Other texts, and those with special strings, are encoded
+    whole by the library.
+    """
+
+    def __init__(self, path: str):
+        # tasks are the unit of parallel work; threads of the library's own would only compete with them
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        from tokenizers import Tokenizer
+
+        self.library = Tokenizer.from_file(path)
+        self.marks = tuple(t.content for t in self.library.get_added_tokens_decoder().values())
+        blank = byte_letters()[32]
+        vocab = self.library.get_vocab()
+        self.starts_piece = np.zeros(max(vocab.values()) + 1, dtype=bool)
+        self.starts_piece[[i for t, i in vocab.items() if t.startswith(blank)]] = True
+        self.tails = {t: vocab[t] for t in TAILS}
+        self.hot: dict[str, int] = {}
+        self.at: dict[str, int] = {}
+        self.flat, self.sizes = np.zeros(0, dtype=np.uint32), np.zeros(0, dtype=np.int64)
+
+    def whole(self, text: str) -> np.ndarray:
+        return np.array(self.library.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
+
+    def _encode(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all pieces, ids a piece)"""
+        ids = self.whole(" " + " ".join(pieces))
+        first = np.flatnonzero(self.starts_piece[ids])
+        if len(first) != len(pieces):
+            raise ValueError("the vocabulary joins pieces across blanks")
+        return ids, np.diff(np.r_[first, len(ids)])
+
+    def _encode_all(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """As _encode, of any number of pieces; those of letters and a tail are put together from their letters' ids."""
+        tailed = [p[-1] in TAILS and p[:-1].isalpha() for p in pieces]
+        stems = {s: k for k, s in enumerate(dict.fromkeys(p[:-1] if t else p for p, t in zip(pieces, tailed, strict=True)))}
+        names = list(stems)
+        known = np.fromiter(map(self.at.get, names, repeat(-1)), dtype=np.int64, count=len(names))
+        new = [names[k] for k in np.flatnonzero(known < 0).tolist()]
+        parts = [self._encode(new[i : i + 20_000]) for i in range(0, len(new), 20_000)]
+        known[known < 0] = np.arange(len(self.sizes), len(self.sizes) + len(new))
+        flat = np.concatenate([self.flat, *(p[0] for p in parts)])
+        sizes = np.concatenate([self.sizes, *(p[1] for p in parts)])
+        begins = np.cumsum(sizes) - sizes
+        at = known[np.fromiter((stems[p[:-1] if t else p] for p, t in zip(pieces, tailed, strict=True)), dtype=np.int64, count=len(pieces))]
+        tail = np.array(tailed)
+        n = sizes[at] + tail
+        ends = np.cumsum(n)
+        ids = flat[np.minimum(np.arange(ends[-1]) + np.repeat(begins[at] - ends + n, n), len(flat) - 1)]
+        ids[ends[tail] - 1] = [self.tails[p[-1]] for p, t in zip(pieces, tailed, strict=True) if t]
+        return ids, n
+
+    def _find(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(place of each piece, all ids, ids a place). When the memo is full, new pieces are kept for this call only."""
+        where = np.fromiter(map(self.hot.get, pieces, repeat(-1)), dtype=np.int64, count=len(pieces))
+        cold = np.flatnonzero(where < 0)
+        rest = list(map(pieces.__getitem__, cold.tolist()))
+        found = np.fromiter(map(self.at.get, rest, repeat(-1)), dtype=np.int64, count=len(rest))
+        flat, sizes = self.flat, self.sizes
+        if len(lost := np.flatnonzero(found < 0)):
+            lost_pieces = list(map(rest.__getitem__, lost.tolist()))
+            fresh = {p: len(sizes) + k for k, p in enumerate(dict.fromkeys(lost_pieces))}
+            found[lost] = np.fromiter(map(fresh.__getitem__, lost_pieces), dtype=np.int64, count=len(lost))
+            ids, n = self._encode_all(list(fresh))
+            flat, sizes = np.concatenate([flat, ids]), np.concatenate([sizes, n])
+            if len(self.at) + len(fresh) <= KEPT:
+                self.at.update(fresh)
+                self.flat, self.sizes = flat, sizes
+        where[cold] = found
+        if not self.hot and len(pieces) > HOT:
+            self.hot = {p: self.at[p] for p, _ in Counter(pieces).most_common(HOT) if p in self.at}
+        return where, flat, sizes
+
+    def __call__(self, texts: list[str]) -> list[np.ndarray]:
+        plain = [e and not any(m in t for m in self.marks) for t, e in zip(texts, even_texts(texts), strict=True)]
+        split = [t.split(" ") if e else [] for t, e in zip(texts, plain, strict=True)]
+        # the first piece has no blank before it and is encoded for itself
+        first = [e.ids for e in self.library.encode_batch_fast([p[0] if p else "" for p in split], add_special_tokens=False)]
+        where, flat, sizes = self._find(list(chain.from_iterable(p[1:] for p in split)))
+        if len(where):
+            begins = (np.cumsum(sizes) - sizes)[where]
+            sizes = sizes[where]
+            ends = np.cumsum(sizes)
+            body = flat[np.arange(ends[-1]) + np.repeat(begins - ends + sizes, sizes)]
+            edges = np.r_[0, ends][np.cumsum([0, *(max(0, len(p) - 1) for p in split)])].tolist()
+        else:
+            body, edges = flat[:0], [0] * (len(texts) + 1)
+        return [
+            np.concatenate((np.array(h, dtype=np.uint32), body[i:j])) if e else self.whole(t)
+            for t, e, h, i, j in zip(texts, plain, first, edges[:-1], edges[1:], strict=True)
+        ]
 
-    return encode
+
+@lru_cache(maxsize=2)
+def encoder(path: str) -> Encoder:
+    """One encoder a worker and file."""
+    return Encoder(path)
 
 
 def write_tokens(docs: DataFrame, out_path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0, path: str | None = None) -> None:
@@ -161,7 +262,7 @@ def write_tokens(docs: DataFrame, out_path: str, id_col: str = "doc_id", text_co
 def read_tokens(spark: SparkSession, in_path: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of the documents in the chunks at `in_path`, decoded."""
     chunks = spark.read.schema(CHUNKS).parquet(in_path)
-    small_batches(spark, 16)
+    small_batches(spark)
     parts = chunks.groupBy("part").agg(F.sum("n_ids").alias("ids"))
     parts = parts.withColumn("part_start", F.coalesce(F.sum("ids").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     heads = chunks.select("part", "seq", "n_ids").join(parts.select("part", "part_start"), "part")
