@@ -85,11 +85,13 @@ def fit_label_model(votes: np.ndarray, gold: np.ndarray, rounds: int = 10) -> La
     return model
 
 
-def mine_voters(rows: list[tuple[set[str], int]], most: int, least_docs: int = 4) -> list[str]:
-    """The words and word beginnings that speak most for toxic rows, by the log-likelihood ratio; precise ones only."""
-    toxic = Counter(f for fs, y in rows if y == 1 for f in fs)
-    held = {f for f, n in toxic.items() if n >= least_docs}
-    clean = Counter(f for fs, y in rows if y == 0 for f in fs if f in held)
+def mine_voters(rows: list[tuple[str, int]], most: int, least_docs: int = 4) -> list[str]:
+    """The words and word beginnings that speak most for toxic rows, by the log-likelihood ratio; precise ones only.
+    Features are made a text at a time, as those of all rows would not fit a small driver."""
+    toxic = Counter(f for t, y in rows if y == 1 for f in features(t))
+    toxic = {f: n for f, n in toxic.items() if n >= least_docs}
+    held = set(toxic)
+    clean = Counter(f for t, y in rows if y == 0 for f in features(t) & held)
     n1, n0 = max(1, sum(y == 1 for _, y in rows)), max(1, sum(y == 0 for _, y in rows))
 
     def gain(a: int, b: int) -> float:
@@ -105,14 +107,15 @@ def mine_voters(rows: list[tuple[set[str], int]], most: int, least_docs: int = 4
 
 def fit_linear(x: np.ndarray, target: np.ndarray, steps: int = 400, ridge: float = 1e-4) -> tuple[np.ndarray, float]:
     """Logistic regression on soft labels by Adam on all rows; (weights, bias)."""
-    w, b = np.zeros(x.shape[1]), 0.0
+    w, b = np.zeros(x.shape[1], dtype=x.dtype), 0.0
+    target = target.astype(x.dtype)
     m, v, n = np.zeros(x.shape[1] + 1), np.zeros(x.shape[1] + 1), len(x)
     for t in range(1, steps + 1):
         off = 1 / (1 + np.exp(-(x @ w + b))) - target
         g = np.append(x.T @ off / n + ridge * w, off.mean())
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         step = 0.1 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
-        w, b = w - step[:-1], b - step[-1]
+        w, b = w - step[:-1].astype(x.dtype), float(b - step[-1])
     return w, b
 
 
@@ -132,17 +135,17 @@ def train(rows: list[tuple[str, int]], share: float | None = None, voters: int =
     With no labelled toxic rows all scores are `share` (0.05 if unknown). The voters are the best `voters` mined
     features, the classifier's inputs the best `inputs`.
     """
-    sets = [(features(t), y) for t, y in rows]
-    names = mine_voters(sets, inputs)
+    names = mine_voters(rows, inputs)
     share = min(max(share if share is not None else 0.05, 1e-3), 0.5)
     if not names:
         return ToxicityModel({}, math.log(share / (1 - share)))
     at = {f: i for i, f in enumerate(names)}
-    x = np.zeros((len(sets), len(names)))
-    for i, (fs, _) in enumerate(sets):
-        x[i, [at[f] for f in fs if f in at]] = 1
-    gold = np.array([y for _, y in sets])
-    q = fit_label_model(x[:, :voters], gold).posterior(x[:, :voters], gold)
+    x = np.zeros((len(rows), len(names)), dtype=np.float32)
+    for i, (t, _) in enumerate(rows):
+        x[i, [at[f] for f in features(t) if f in at]] = 1
+    gold = np.array([y for _, y in rows])
+    votes = x[:, :voters].astype(float)
+    q = fit_label_model(votes, gold).posterior(votes, gold)
     w, b = fit_linear(x, q)
     mean = float(np.clip(q.mean(), 1e-3, 1 - 1e-3))
     bias = b + 0.5 * (math.log(share / (1 - share)) - math.log(mean / (1 - mean)))
