@@ -47,7 +47,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def small_batches(spark: SparkSession, rows: int = 1000, size: int = 32 << 20) -> None:
+def small_batches(spark: SparkSession, rows: int = 256, size: int = 16 << 20) -> None:
     """Arrow batches of at most `rows` texts and about `size` bytes, so that a worker holds some MB at a time."""
     for name, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", rows), ("spark.sql.execution.arrow.maxBytesPerBatch", size)):
         if not 0 < int(spark.conf.get(name).removesuffix("b")) <= most:

@@ -83,7 +83,7 @@ def gram_sets(texts: list[str | None], n: int) -> list[np.ndarray]:
     return out
 
 
-def pieces(batch: pa.RecordBatch, column: int, size: int = 1 << 21) -> Iterator[tuple[int, list[str | None]]]:
+def pieces(batch: pa.RecordBatch, column: int, size: int = 1 << 19) -> Iterator[tuple[int, list[str | None]]]:
     """(first row, texts) of slices of a batch with at most about `size` characters each."""
     texts, at, n = batch.column(column).to_pylist(), 0, 0
     for i, t in enumerate(texts):
