@@ -176,11 +176,11 @@ def slack(x: int, y: int, pct: int) -> int:
 
 def counted(pairs: DataFrame, texts: DataFrame, n: int, pct: int) -> DataFrame:
     """(a, b, linked) of the pairs (a, b, more): whether 100 * overlap >= pct * union. Where `more` is set, further rows
-    have (gram, size, off, near): the prefix of its differences from a, n-grams that a lacks first, each
-    with b's size, the number of differences, and whether it is in the prefix that suffices for partners that differ
+    have (gram, size, off, pos, near): the prefix of its differences from a, n-grams that a lacks first, each
+    with b's size, the number of differences, its place among them, and whether it is in the prefix that suffices for partners that differ
     from a as much or more."""
     joined = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
-    names = ["a", "b", "linked", "gram", "size", "off", "near"]
+    names = ["a", "b", "linked", "gram", "size", "off", "pos", "near"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -199,18 +199,19 @@ def counted(pairs: DataFrame, texts: DataFrame, n: int, pct: int) -> DataFrame:
                 added, removed = np.setdiff1d(y, x, assume_unique=True), np.setdiff1d(x, y, assume_unique=True)
                 off = len(added) + len(removed)
                 linked = off <= slack(len(x), len(y), pct)
-                put(a, b, linked, None, len(y), off, None)
+                put(a, b, linked, None, len(y), off, None, None)
                 if more:
                     most = slack(len(y), len(y) * 100 // pct, pct)
                     near = most // 2 + 1
                     prefix = np.concatenate((added, removed))[: most + 1].view(np.int64).tolist()
                     size = len(prefix)
-                    for c, v in zip(cols, ([a], [b], [linked], prefix, [len(y)], [off], None), strict=True):
-                        c += v * size if v is not prefix and v is not None else prefix if v is prefix else [k < near for k in range(size)]
-            kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int32(), pa.int32(), pa.bool_())
+                    repeated = ([x] * size for x in (a, b, linked))
+                    for c, v in zip(cols, (*repeated, prefix, [len(y)] * size, [off] * size, range(size), [k < near for k in range(size)]), strict=True):
+                        c += v
+            kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.bool_())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names)
 
-    return joined.select("a", "b", "text_a", "text_b", "more").mapInArrow(run, "a long, b long, linked boolean, gram long, size int, off int, near boolean")
+    return joined.select("a", "b", "text_a", "text_b", "more").mapInArrow(run, "a long, b long, linked boolean, gram long, size int, off int, pos int, near boolean")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -233,17 +234,19 @@ def second_pairs(prefixes: DataFrame, labels: DataFrame, pct: int) -> DataFrame:
     meet the bound by their sizes, and are not yet in one group.
 
     Only n-grams that two or more rows of different groups have are joined. The row that differs less from the leader
-    must have the n-gram in its near prefix. Where the differences alone are few enough, both link to the leader.
+    must have the n-gram in its near prefix, and enough differences must follow it on both sides, were it the first
+    that is shared. Where the differences alone are few enough, both link to the leader.
     """
-    rows = prefixes.select(F.col("a").alias("lead"), "gram", F.col("b").alias("id"), "size", "off", "near")
-    rows = rows.join(labels, F.col("id") == F.col("node"), "left").select("lead", "gram", "id", "size", "off", "near", F.coalesce("label", "id").alias("comp"))
+    rows = prefixes.select(F.col("a").alias("lead"), "gram", F.col("b").alias("id"), "size", "off", "pos", "near")
+    rows = rows.join(labels, F.col("id") == F.col("node"), "left").select("lead", "gram", "id", "size", "off", "pos", "near", F.coalesce("label", "id").alias("comp"))
     rows = stash(rows, "differences")
     mixed = rows.groupBy("lead", "gram").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.max("near").alias("any_near")).filter("c0 <> c1 AND any_near").select("lead", "gram")
     rows = stash(rows.join(mixed, ["lead", "gram"]), "mixed")
-    x = rows.filter("near").select("lead", "gram", *[F.col(c).alias(f"x_{c}") for c in ("id", "size", "off", "comp")])
-    y = rows.select("lead", "gram", *[F.col(c).alias(f"y_{c}") for c in ("id", "size", "off", "comp")])
+    x = rows.filter("near").select("lead", "gram", *[F.col(c).alias(f"x_{c}") for c in ("id", "size", "off", "pos", "comp")])
+    y = rows.select("lead", "gram", *[F.col(c).alias(f"y_{c}") for c in ("id", "size", "off", "pos", "comp")])
     most = (F.col("x_size") + F.col("y_size")) * (100 - pct) / (100 + pct)
     fits = (F.col("x_comp") != F.col("y_comp")) & (F.struct("x_off", "x_id") < F.struct("y_off", "y_id")) & (F.col("y_off") - F.col("x_off") <= most) & (100 * F.least("x_size", "y_size") >= pct * F.greatest("x_size", "y_size"))
+    fits = fits & (2 * F.least(F.col("x_off") - F.col("x_pos"), F.col("y_off") - F.col("y_pos")) >= F.col("x_off") + F.col("y_off") - most)
     joined = x.join(y, (x["lead"] == y["lead"]) & (x["gram"] == y["gram"]) & fits)
     return joined.select(F.least("x_id", "y_id").alias("a"), F.greatest("x_id", "y_id").alias("b")).distinct()
 
