@@ -104,7 +104,7 @@ class Chunk:
 WHITE = np.array([chr(b).isspace() and b < 128 for b in range(256)])
 WIDE_PAIRS = [p for c in map(chr, range(128, 0x3001)) if c.isspace() for p in (f" {c}", f"{c} ")]
 #: Pieces that an encoder keeps, and those of them that it looks up first, as they make most of any text.
-KEPT, HOT = 250_000, 30_000
+KEPT, HOT = 120_000, 30_000
 #: Ends of pieces that are pre-tokens of their own after letters.
 TAILS = (",", ".")
 
