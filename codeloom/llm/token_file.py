@@ -5,13 +5,13 @@ from __future__ import annotations
 import os
 import struct
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain, repeat
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -103,8 +103,8 @@ class Chunk:
 #: ASCII white space as bytes, and other white space next to a blank.
 WHITE = np.array([chr(b).isspace() and b < 128 for b in range(256)])
 WIDE_PAIRS = [p for c in map(chr, range(128, 0x3001)) if c.isspace() for p in (f" {c}", f"{c} ")]
-#: Pieces that an encoder keeps, and those of them that it looks up first, as they make most of any text.
-KEPT, HOT = 120_000, 30_000
+#: Pieces that an encoder keeps, and characters of texts that it takes at a time, so that equal pieces are looked up once.
+KEPT, AT_ONCE = 120_000, 6 << 20
 #: Ends of pieces that are pre-tokens of their own after letters.
 TAILS = (",", ".")
 
@@ -119,6 +119,13 @@ def even_texts(texts: list[str]) -> list[bool]:
     return [i not in uneven and t[:1] not in ("", " ") and t[-1] != " " and (t.isascii() or not any(p in t for p in WIDE_PAIRS)) for i, t in enumerate(texts)]
 
 
+def gather(flat: np.ndarray, begins: np.ndarray, sizes: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The runs of `flat` with the numbers `at`, one after the other."""
+    n = sizes[at]
+    ends = np.cumsum(n)
+    return flat[np.arange(n.sum()) + np.repeat(begins[at] - ends + n, n)]
+
+
 class Encoder:
     """Texts to ids by the tokenizers library, with a bounded memo of the pieces between single blanks.
 
@@ -140,12 +147,12 @@ class Encoder:
         self.starts_piece = np.zeros(max(vocab.values()) + 1, dtype=bool)
         self.starts_piece[[i for t, i in vocab.items() if t.startswith(blank)]] = True
         self.tails = {t: vocab[t] for t in TAILS}
-        self.hot: dict[str, int] = {}
         self.at: dict[str, int] = {}
-        self.flat, self.sizes = np.zeros(0, dtype=np.uint32), np.zeros(0, dtype=np.int64)
+        self.flat, self.sizes, self.uses = np.zeros(0, dtype=np.uint32), np.zeros(0, dtype=np.int64), np.zeros(0)
 
     def whole(self, text: str) -> np.ndarray:
-        return np.array(self.library.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
+        # the batch call leaves offsets out
+        return np.array(self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype=np.uint32)
 
     def _encode(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all pieces, ids a piece)"""
@@ -175,45 +182,70 @@ class Encoder:
         ids[ends[tail] - 1] = [self.tails[p[-1]] for p, t in zip(pieces, tailed, strict=True) if t]
         return ids, n
 
-    def _find(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(place of each piece, all ids, ids a place). When the memo is full, new pieces are kept for this call only."""
-        where = np.fromiter(map(self.hot.get, pieces, repeat(-1)), dtype=np.int64, count=len(pieces))
-        cold = np.flatnonzero(where < 0)
-        rest = list(map(pieces.__getitem__, cold.tolist()))
-        found = np.fromiter(map(self.at.get, rest, repeat(-1)), dtype=np.int64, count=len(rest))
-        flat, sizes = self.flat, self.sizes
-        if len(lost := np.flatnonzero(found < 0)):
-            lost_pieces = list(map(rest.__getitem__, lost.tolist()))
-            fresh = {p: len(sizes) + k for k, p in enumerate(dict.fromkeys(lost_pieces))}
-            found[lost] = np.fromiter(map(fresh.__getitem__, lost_pieces), dtype=np.int64, count=len(lost))
-            ids, n = self._encode_all(list(fresh))
+    def _find(self, pieces: list[str], uses: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(place of each of the distinct pieces, all ids, ids a place); keeps the pieces used most, older uses counting half."""
+        where = np.fromiter(map(self.at.get, pieces, repeat(-1)), dtype=np.int64, count=len(pieces))
+        flat, sizes, names = self.flat, self.sizes, []
+        if len(new := np.flatnonzero(where < 0)):
+            names = list(map(pieces.__getitem__, new.tolist()))
+            ids, n = self._encode_all(names)
+            where[new] = np.arange(len(sizes), len(sizes) + len(new))
             flat, sizes = np.concatenate([flat, ids]), np.concatenate([sizes, n])
-            if len(self.at) + len(fresh) <= KEPT:
-                self.at.update(fresh)
-                self.flat, self.sizes = flat, sizes
-        where[cold] = found
-        if not self.hot and len(pieces) > HOT:
-            self.hot = {p: self.at[p] for p, _ in Counter(pieces).most_common(HOT) if p in self.at}
+        self.uses = np.concatenate([self.uses / 2, np.zeros(len(names))])
+        self.uses[where] += uses
+        if len(sizes) <= KEPT:
+            self.at.update(zip(names, range(len(self.sizes), len(sizes))))
+            self.flat, self.sizes = flat, sizes
+        else:
+            kept = np.sort(np.argpartition(-self.uses, KEPT)[:KEPT])
+            names = [*self.at, *names]
+            self.at = {names[k]: i for i, k in enumerate(kept.tolist())}
+            self.flat, self.sizes, self.uses = gather(flat, np.cumsum(sizes) - sizes, sizes, kept), sizes[kept], self.uses[kept]
         return where, flat, sizes
 
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
         plain = [e and not any(m in t for m in self.marks) for t, e in zip(texts, even_texts(texts), strict=True)]
-        split = [t.split(" ") if e else [] for t, e in zip(texts, plain, strict=True)]
+        split = pc.split_pattern(pa.array([t for t, e in zip(texts, plain, strict=True) if e], pa.large_string()), " ")
+        edges = split.offsets.to_numpy().astype(np.int64)
+        coded = split.flatten().dictionary_encode()
+        codes = coded.indices.to_numpy()
+        starts, names = edges[:-1], coded.dictionary.to_pylist()
         # the first piece has no blank before it and is encoded for itself
-        first = [e.ids for e in self.library.encode_batch_fast([p[0] if p else "" for p in split], add_special_tokens=False)]
-        where, flat, sizes = self._find(list(chain.from_iterable(p[1:] for p in split)))
-        if len(where):
-            begins = (np.cumsum(sizes) - sizes)[where]
-            sizes = sizes[where]
-            ends = np.cumsum(sizes)
-            body = flat[np.arange(ends[-1]) + np.repeat(begins - ends + sizes, sizes)]
-            edges = np.r_[0, ends][np.cumsum([0, *(max(0, len(p) - 1) for p in split)])].tolist()
-        else:
-            body, edges = flat[:0], [0] * (len(texts) + 1)
-        return [
-            np.concatenate((np.array(h, dtype=np.uint32), body[i:j])) if e else self.whole(t)
-            for t, e, h, i, j in zip(texts, plain, first, edges[:-1], edges[1:], strict=True)
-        ]
+        first = iter(self.library.encode_batch_fast([names[c] for c in codes[starts].tolist()], add_special_tokens=False))
+        rest = np.delete(codes, starts)
+        uses = np.bincount(rest, minlength=len(names))
+        used = np.flatnonzero(uses)
+        body, ends = np.zeros(0, dtype=np.uint32), iter(())
+        if len(used):
+            place = np.zeros(len(names), dtype=np.int64)
+            place[used], flat, sizes = self._find(list(map(names.__getitem__, used.tolist())), uses[used])
+            at = place[rest]
+            body = gather(flat, np.cumsum(sizes) - sizes, sizes, at)
+            ends = iter(np.r_[0, np.cumsum(sizes[at])][edges[1:] - np.arange(1, len(edges))].tolist())
+        out, done = [], 0
+        for t, e in zip(texts, plain, strict=True):
+            if not e:
+                out.append(self.whole(t))
+                continue
+            end = next(ends, 0)
+            out.append(np.concatenate((np.array(next(first).ids, dtype=np.uint32), body[done:end])))
+            done = end
+        return out
+
+
+def together(batches: Iterator[pa.RecordBatch], size: int = AT_ONCE) -> Iterator[tuple[list, list[str]]]:
+    """(ids, texts) of `size` characters or little more; null texts are empty."""
+    ids, texts, n = [], [], 0
+    for batch in batches:
+        for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            ids.append(doc_id)
+            texts.append(text or "")
+            n += len(texts[-1])
+            if n >= size:
+                yield ids, texts
+                ids, texts, n = [], [], 0
+    if texts:
+        yield ids, texts
 
 
 @lru_cache(maxsize=2)
@@ -243,9 +275,8 @@ def write_tokens(docs: DataFrame, out_path: str, id_col: str = "doc_id", text_co
                 {"part": pa.array([part], pa.int32()), "seq": pa.array([seq], pa.int32()), "n_ids": pa.array([n], pa.int64()), "n_docs": pa.array([len(names)], pa.int32()), "image": pa.array([chunk_image(names, ids)], pa.binary())}
             )
 
-        for batch in batches:
-            encoded = encode([t or "" for t in batch.column(1).to_pylist()])
-            for doc_id, tokens in zip(batch.column(0).to_pylist(), encoded, strict=True):
+        for doc_ids, texts in together(batches):
+            for doc_id, tokens in zip(doc_ids, encode(texts), strict=True):
                 names.append(doc_id)
                 ids.append(np.append(tokens, np.uint32(end_id)))
                 n += len(ids[-1])
