@@ -37,21 +37,28 @@ def pack_block(values: np.ndarray) -> bytes:
     pivot = int(np.partition(rest, k := min(len(rest) - 1, int(FITS * len(rest))))[k])
     width = pivot.bit_length()
     odd = np.flatnonzero(rest >> np.uint32(width)) if width < 32 else np.zeros(0, dtype=np.int64)
-    bits = (rest[:, None] >> np.arange(width, dtype=np.uint32)) & np.uint32(1)
-    packed = np.packbits(bits.astype(np.uint8).ravel(), bitorder="little").tobytes() if width else b""
+    bits = np.unpackbits(rest.astype("<u4").view(np.uint8).reshape(-1, 4), axis=1, count=width, bitorder="little") if width else rest[:0]
+    packed = np.packbits(bits.ravel(), bitorder="little").tobytes() if width else b""
     return BLOCK_HEAD.pack(low, width, len(values), len(odd)) + packed + odd.astype("<u2").tobytes() + rest[odd].astype("<u4").tobytes()
 
 
+@lru_cache(maxsize=33)
+def places(width: int) -> tuple[np.ndarray, np.ndarray]:
+    """The byte where each value of a block of this width starts, and the bits before it in that byte."""
+    bit = np.arange(BLOCK) * width
+    return bit // 8, (bit % 8).astype(np.uint64)
+
+
 def unpack_block(image: memoryview, at: int) -> np.ndarray:
     low, width, n, n_odd = BLOCK_HEAD.unpack_from(image, at)
     at += BLOCK_HEAD.size
     size = (n * width + 7) // 8
     rest = np.zeros(n, dtype=np.uint32)
     if width:
-        bits = np.unpackbits(np.frombuffer(image, np.uint8, size, at), bitorder="little", count=n * width).reshape(n, width)
-        wide = np.zeros((n, 32), dtype=np.uint8)
-        wide[:, :width] = bits
-        rest = np.packbits(wide, axis=1, bitorder="little").view("<u4").ravel().astype(np.uint32)
+        # a value starts within a byte, and the 8 bytes from there on hold all of it
+        byte, shift = places(width)
+        words = np.ndarray(size + 1, dtype="<u8", buffer=bytes(image[at : at + size]) + bytes(8), strides=(1,))
+        rest = ((words[byte[:n]] >> shift[:n]) & np.uint64((1 << width) - 1)).astype(np.uint32)
     at += size
     rest[np.frombuffer(image, "<u2", n_odd, at).astype(np.int64)] = np.frombuffer(image, "<u4", n_odd, at + 2 * n_odd)
     return rest + np.uint32(low)
@@ -165,7 +172,9 @@ class Encoder:
     def _encode_all(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """As _encode, of any number of pieces; those of letters and a tail are put together from their letters' ids."""
         tailed = [p[-1] in TAILS and p[:-1].isalpha() for p in pieces]
-        stems = {s: k for k, s in enumerate(dict.fromkeys(p[:-1] if t else p for p, t in zip(pieces, tailed, strict=True)))}
+        bare = [p[:-1] if t else p for p, t in zip(pieces, tailed, strict=True)]
+        stems = dict.fromkeys(bare)
+        stems.update(zip(stems, range(len(stems))))
         names = list(stems)
         known = np.fromiter(map(self.at.get, names, repeat(-1)), dtype=np.int64, count=len(names))
         new = [names[k] for k in np.flatnonzero(known < 0).tolist()]
@@ -174,7 +183,7 @@ class Encoder:
         flat = np.concatenate([self.flat, *(p[0] for p in parts)])
         sizes = np.concatenate([self.sizes, *(p[1] for p in parts)])
         begins = np.cumsum(sizes) - sizes
-        at = known[np.fromiter((stems[p[:-1] if t else p] for p, t in zip(pieces, tailed, strict=True)), dtype=np.int64, count=len(pieces))]
+        at = known[np.fromiter(map(stems.__getitem__, bare), dtype=np.int64, count=len(bare))]
         tail = np.array(tailed)
         n = sizes[at] + tail
         ends = np.cumsum(n)
@@ -209,7 +218,7 @@ class Encoder:
         edges = split.offsets.to_numpy().astype(np.int64)
         coded = split.flatten().dictionary_encode()
         codes = coded.indices.to_numpy()
-        starts, names = edges[:-1], coded.dictionary.to_pylist()
+        starts, names = edges[:-1], coded.dictionary.to_numpy(zero_copy_only=False).tolist()
         # the first piece has no blank before it and is encoded for itself
         first = iter(self.library.encode_batch_fast([names[c] for c in codes[starts].tolist()], add_special_tokens=False))
         rest = np.delete(codes, starts)
