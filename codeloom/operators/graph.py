@@ -2,19 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import shared_dir
+
 
 def _checkpoint(df: DataFrame) -> DataFrame:
-    """Cut lineage through the checkpoint folder, which all executors share; one of our own only where none is set."""
-    spark: SparkSession = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None):
-        path = tempfile.mkdtemp(prefix="codeloom-")
-        spark.conf.set("spark.checkpoint.dir", path)
-        spark.sparkContext.setCheckpointDir(path)
+    """Cut lineage through the checkpoint folder, which all executors share."""
+    shared_dir(df.sparkSession)
     return df.checkpoint()
 
 

@@ -85,3 +85,15 @@ def within_budget(df: DataFrame, size: Column, order: list, budget: int, partiti
     """Rows in order until their sizes pass the budget; the row that crosses it stays, so each part keeps one or more."""
     before = Window.partitionBy(partition).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     return df.withColumn("_before", F.coalesce(F.sum(size).over(before), F.lit(0))).filter(F.col("_before") < budget).drop("_before")
+
+
+def rank_tests(edges: DataFrame, tests: DataFrame, limit: int = 30) -> DataFrame:
+    """The `limit` best tests of each symbol that is no test itself: direct callers among `tests` (test_id) score 100,
+    callers through one more symbol 40. (symbol_id, test_id, distance, score, rank), of equal ones the smallest id first."""
+    step = edges.select("src", "dst").distinct()
+    direct = step.join(tests, F.col("src") == F.col("test_id")).select("test_id", F.col("dst").alias("symbol_id"))
+    further = direct.join(step, F.col("symbol_id") == F.col("src")).select("test_id", F.col("dst").alias("symbol_id"), F.lit(2).alias("distance"))
+    found = direct.withColumn("distance", F.lit(1)).unionByName(further).filter("test_id <> symbol_id").join(tests.select(F.col("test_id").alias("symbol_id")), "symbol_id", "left_anti")
+    best = found.groupBy("symbol_id", "test_id").agg(F.min("distance").alias("distance"))
+    rank = F.row_number().over(Window.partitionBy("symbol_id").orderBy("distance", "test_id"))
+    return best.select("symbol_id", "test_id", "distance", F.when(F.col("distance") == 1, 100).otherwise(40).alias("score"), rank.alias("rank")).filter(F.col("rank") <= limit)

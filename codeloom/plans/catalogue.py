@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import graph, history, services
+from ..operators import graph, history, services, similarity
 from ..operators import symbols as S
+from ..session import shared_dir
+from ..streaming.refresh import Snapshots, refresh
 from . import views as V
 
 QUERIES: dict = {}
@@ -365,3 +369,55 @@ def q_token_budget(spark, d):
 def q_text_lines(spark, d):
     lines = F.split(F.coalesce("text", F.lit("")), "\n")
     return V.table(spark, d, "documents").select("doc_id", F.posexplode(lines).alias("p", "text")).select("doc_id", (F.col("p") + 1).cast("long").alias("line"), "text")
+
+
+#: Shape hashes of whole documents: tokens, grams, each distinct gram's FNV-1a, votes of the bits.
+SHAPE_SQL = rf"""s_kinds AS MATERIALIZED (SELECT doc_id, list_transform(list_filter(regexp_extract_all(text, '{similarity.SHAPE.replace("'", "''")}'), lambda t: NOT regexp_matches(t, '^(//|#|/[*])')),
+    lambda t: CASE WHEN regexp_matches(t, '^["''`]') THEN 'STRING' WHEN regexp_matches(t, '^[A-Za-z_$]') THEN 'NAME' WHEN regexp_matches(t, '^[0-9]') THEN 'NUMBER' ELSE 'OP:' || t END) AS kinds FROM documents),
+  s_grams AS MATERIALIZED (SELECT doc_id, gram, count(*) AS n FROM (SELECT doc_id, kinds[i] || '|' || kinds[i + 1] || '|' || kinds[i + 2] AS gram FROM (SELECT doc_id, kinds, unnest(range(1, len(kinds) - 1)) AS i FROM s_kinds WHERE len(kinds) >= 8)) GROUP BY ALL),
+  s_hashes AS MATERIALIZED (SELECT gram, list_reduce(list_prepend({similarity.FNV_START}::UHUGEINT, list_transform(string_split(gram, ''), lambda c: (unicode(c) & 255)::UHUGEINT)), lambda h, c: (xor(h, c) * {similarity.FNV_PRIME}::UHUGEINT) % 18446744073709551616::UHUGEINT) AS h FROM (SELECT DISTINCT gram FROM s_grams)),
+  s_votes AS MATERIALIZED (SELECT doc_id, b, sum(CASE WHEN (h // power2) % 2 = 1 THEN n ELSE -n END) AS votes FROM s_grams JOIN s_hashes USING (gram), (SELECT b, (1::UHUGEINT << b::UHUGEINT) AS power2 FROM range(0, 64) r(b)) GROUP BY ALL),
+  s_doc AS MATERIALIZED (SELECT doc_id, CAST(CASE WHEN u >= 9223372036854775808 THEN u - 18446744073709551616 ELSE u END AS BIGINT) AS hash FROM (SELECT doc_id, CAST(sum(CASE WHEN votes > 0 THEN (1::HUGEINT << b::HUGEINT) ELSE 0 END) AS HUGEINT) AS u FROM s_votes GROUP BY doc_id))"""
+
+
+def _shapes(spark, d):
+    return V.table(spark, d, "documents").select("doc_id", similarity.shape_hash(F.col("text")).alias("hash"))
+
+
+@query(f"WITH {SHAPE_SQL} SELECT doc_id, hash FROM documents LEFT JOIN s_doc USING (doc_id)")
+def q_simhash(spark, d):
+    return _shapes(spark, d)
+
+
+@query(f"WITH {SHAPE_SQL}, v AS MATERIALIZED (SELECT DISTINCT hash FROM s_doc) SELECT x.hash AS a, y.hash AS b, CAST(bit_count(xor(x.hash, y.hash)) AS INTEGER) AS distance FROM v x JOIN v y ON x.hash < y.hash WHERE bit_count(xor(x.hash, y.hash)) <= 6")
+def q_hamming_pairs(spark, d):
+    return similarity.hamming_pairs(_shapes(spark, d))
+
+
+@query(f"""WITH RECURSIVE {SHAPE_SQL}, v AS MATERIALIZED (SELECT hash, min(doc_id) AS id FROM s_doc GROUP BY hash),
+  e AS MATERIALIZED (SELECT x.hash AS src, y.hash AS dst FROM v x JOIN v y ON bit_count(xor(x.hash, y.hash)) <= 6),
+  r AS (SELECT hash, hash AS at FROM v UNION SELECT r.hash, e.dst FROM r JOIN e ON r.at = e.src),
+  c AS MATERIALIZED (SELECT r.hash, min(v.id) AS cluster FROM r JOIN v ON r.at = v.hash GROUP BY r.hash)
+  SELECT doc_id, cluster, members FROM (SELECT doc_id, cluster, count(*) OVER (PARTITION BY cluster) AS members FROM s_doc JOIN c USING (hash)) WHERE members > 1""")
+def q_duplicate_clusters(spark, d):
+    found = similarity.duplicate_clusters(_shapes(spark, d).withColumnRenamed("doc_id", "id"))
+    return found.withColumnRenamed("id", "doc_id")
+
+
+@query("SELECT user_id, last.ts AS ts, last.event_id AS event_id, last.event_type AS event_type, last.value AS value FROM (SELECT user_id, max(struct_pack(ts := ts, event_id := event_id, event_type := event_type, value := value)) AS last FROM events GROUP BY user_id)")
+def q_stream_refresh(spark, d):
+    where = f"{shared_dir(spark)}/codeloom/refresh-{uuid.uuid4().hex}"
+    events = spark.readStream.schema(V.table(spark, d, "events").schema).option("pathGlobFilter", "events.parquet").parquet(d)
+    snapshots = Snapshots(spark, f"{where}/snapshots", "user_id", ["ts", "event_id"])
+    refresh(events.select("user_id", "ts", "event_id", "event_type", "value"), snapshots, f"{where}/checkpoint")
+    return snapshots.read()
+
+
+@query("""WITH e AS MATERIALIZED (SELECT DISTINCT src, dst FROM g_edges), t AS MATERIALIZED (SELECT symbol_id FROM g_symbols JOIN g_files USING (file_id) WHERE role = 'test'),
+  d AS (SELECT symbol_id AS test_id, dst AS symbol_id, 1 AS distance FROM t JOIN e ON src = symbol_id),
+  a AS (SELECT test_id, symbol_id, min(distance) AS distance FROM (SELECT * FROM d UNION ALL SELECT test_id, dst, 2 FROM d JOIN e ON src = d.symbol_id) WHERE test_id <> symbol_id GROUP BY ALL),
+  k AS (SELECT symbol_id, test_id, distance, row_number() OVER (PARTITION BY symbol_id ORDER BY distance, test_id) AS rank FROM a WHERE symbol_id NOT IN (SELECT symbol_id FROM t))
+  SELECT symbol_id, test_id, CAST(distance AS INTEGER) AS distance, CASE WHEN distance = 1 THEN 100 ELSE 40 END AS score, CAST(rank AS INTEGER) AS rank FROM k WHERE rank <= 30""")
+def q_test_ranking(spark, d):
+    tests = V.symbols(spark, d).join(V.files(spark, d).filter("role = 'test'"), "file_id").select(F.col("symbol_id").alias("test_id"))
+    return S.rank_tests(V.edges(spark, d), tests)
