@@ -10,7 +10,7 @@ from .common import BLANK, BLANK_CHARS, WORD, stash
 SYMBOLS = "#*$%&|<>"
 #: Words in a window of the repetition rule.
 SPAN = 5
-#: Bounds of the rules that only count towards a host's failure rate.
+#: Bounds of the rules besides the base rules.
 MAX_SYMBOLS_PER_100_WORDS, MAX_DUP_LINES_PER_100_LINES, MIN_MEAN_CHARS, MAX_MEAN_CHARS = 50, 50, 2, 15
 
 
@@ -63,15 +63,23 @@ def rule_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return rows.withColumn("base_failed", (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words")))
 
 
-def _failures() -> Column:
-    """Share of the rules that a document fails, for its host's rate."""
-    rules = [
+def _rules() -> list[Column]:
+    """Whether a document fails the base rules, the symbol bound, the bound on repeated lines, and that on word lengths."""
+    return [
         F.col("base_failed"),
         100 * F.col("n_symbols") > MAX_SYMBOLS_PER_100_WORDS * F.col("n_words"),
         100 * F.col("n_dup_lines") > MAX_DUP_LINES_PER_100_LINES * F.col("n_lines"),
         ~F.col("word_chars").between(MIN_MEAN_CHARS * F.col("n_words"), MAX_MEAN_CHARS * F.col("n_words")),
     ]
-    return sum(r.cast("int") for r in rules) / F.lit(len(rules))
+
+
+def _share() -> Column:
+    """Share of the rules that a document fails."""
+    return sum(r.cast("int") for r in _rules()) / F.lit(len(_rules()))
+
+
+def _any() -> Column:
+    return F.greatest(*[r.cast("int") for r in _rules()]).cast("double")
 
 
 def host_verdicts(counts: DataFrame, host: str = "host", max_rate: float = 0.5) -> DataFrame:
@@ -90,19 +98,23 @@ def host_verdicts(counts: DataFrame, host: str = "host", max_rate: float = 0.5)
     return per.select("v_host", rate.alias("rate"), (rate <= max_rate).alias("host_ok"))
 
 
-def quality_rules(docs: DataFrame, host_col: str = "source", text_col: str = "text", max_rate: float = 0.5, keep_rows: bool = False) -> DataFrame:
-    """Counts and verdict of every row of `docs`: kept is false if the base rules fail or its host's rate is too high.
+def quality_rules(docs: DataFrame, host_col: str = "source", text_col: str = "text", max_rate: float = 0.5, keep_rows: bool = False, every_rule: bool = True) -> DataFrame:
+    """Counts and verdict of every row of `docs`: kept is false if any rule fails or its host's rate is too high.
+
+    A host's rate is the share of its documents that fail any rule. Without every_rule, as in the SQL below, only the
+    base rules reject a document, and a host's rate is the mean share of the rules that its documents fail.
 
     A host with null is a host of its own. Null and empty texts have no words and fail. Repeated rows count each;
     empty input gives no rows. With keep_rows, the columns are those of `docs` in a struct `row`, plus `kept`; the
     counts are then made twice (for the hosts, for the rows) rather than carrying texts through a shuffle.
     """
-    counted = rule_counts(docs, text_col).withColumn("failed", _failures()).withColumn("host", F.col("row").getField(host_col))
+    counted = rule_counts(docs, text_col).withColumn("failed", _any() if every_rule else _share()).withColumn("host", F.col("row").getField(host_col))
     if not keep_rows:
         counted = stash(counted.select("*", F.col("row").getField("doc_id").alias("doc_id")).drop("row"), "rules")
     verdicts = host_verdicts(counted, max_rate=max_rate)
     out = counted.join(verdicts, F.col("host").eqNullSafe(F.col("v_host")), "left")
-    return out.withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("host_ok"), F.lit(True)))
+    rejected = F.col("failed") > 0 if every_rule else F.col("base_failed")
+    return out.withColumn("kept", ~rejected & F.coalesce(F.col("host_ok"), F.lit(True)))
 
 
 def kept_documents(docs: DataFrame, **options) -> DataFrame:
@@ -144,5 +156,5 @@ FROM r JOIN h ON r.source IS NOT DISTINCT FROM h.source, p
 def op9_quality(spark, sf_dir):
     from .common import table
 
-    out = quality_rules(table(spark, sf_dir, "documents"))
+    out = quality_rules(table(spark, sf_dir, "documents"), every_rule=False)
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")

@@ -13,7 +13,7 @@ from codeloom.llm.token_file import read_tokens, write_tokens
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the base rules, of hosts that pass (operator 9)."""
+    """Documents that pass every rule, of hosts that pass (operator 9)."""
     return kept_documents(docs)
 
 

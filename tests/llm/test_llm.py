@@ -69,6 +69,18 @@ def test_odd_rows(spark, odd, empty):
     assert got[1] == (0, 1) and got[5] == got[4] and got[4][1] == 4 and got[3] == (1, 3) and got[None][1] is None
 
 
+def test_every_rule_and_bad_host(spark):
+    fine = "here are some more words of a plain text that is as good as any other one"
+    junk = " ".join(f"{w}%%%" for w in fine.split())
+    lines = "\n".join(["one and the same short line here", "another line of text"] * 3)
+    long = " ".join("x" * 20 + str(i) for i in range(20))
+    texts = {(h, i): fine for h in range(10) for i in range(20)} | {(0, 0): junk, (1, 0): lines, (2, 0): long}
+    texts |= {(10, i): fine if i < 2 else junk for i in range(20)}
+    docs = spark.createDataFrame([(100 * h + i, f"h{h}", t) for (h, i), t in texts.items()], "doc_id long, source string, text string")
+    gone = {r.doc_id for r in docs.collect()} - {r.doc_id for r in quality.kept_documents(docs).collect()}
+    assert gone == {0, 100, 200, *range(1000, 1020)}
+
+
 def test_mix_meets_targets(spark):
     docs = spark.createDataFrame([(i, "w " * (1 + i % 40), ["a", "b", None][i % 7 % 3]) for i in range(900)], "doc_id long, text string, source string")
     rows = mixing.mix_sources(docs).collect()
