@@ -157,6 +157,21 @@ def document_sets(rows: DataFrame, n: int) -> DataFrame:
     return rows.mapInArrow(run, "id long, s1 long, s2 long, n_shingles long")
 
 
+def marked_rows(rows: DataFrame, n: int) -> DataFrame:
+    """`rows`, which have a column text, with the set's s1, s2 and n_shingles."""
+    schema, at = type(rows.schema)([*rows.schema.fields]), rows.columns.index("text")
+    for name in ("s1", "s2", "n_shingles"):
+        schema = schema.add(name, "long")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [g for _, some in pieces(batch, at) for g in gram_sets(some, n)]
+            sums = [(*set_sums(s), len(s)) for s in sets]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array([s[k] for s in sums], pa.int64()) for k in range(3))], schema.names)
+
+    return rows.mapInArrow(run, schema)
+
+
 def document_keys(rows: DataFrame, n: int, pct: int) -> DataFrame:
     """(key, id): the block keys of rows (id, text)."""
 
@@ -256,16 +271,20 @@ def _sized(ids: DataFrame) -> DataFrame:
     return F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
 
 
-def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, pct: int = 90) -> DataFrame:
-    """(doc_id, n_shingles, component_id): documents linked where 100 * overlap >= pct * union of their shingle sets.
+SET = ["s1", "s2", "n_shingles"]
 
-    No link is missed, whatever the sizes of groups: see the module's text. Null or empty texts have no shingles and link with nothing.
-    Rows of equal id (nulls are one id) are one document, each with its own n_shingles; its texts link together.
-    Copies are one row of the matrix. A null id comes back null. Empty input gives no rows.
-    """
-    spark = docs.sparkSession
-    small_batches(spark)
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.col(text_col).alias("text"))
+
+def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.col(text_col).alias("text"))
+
+
+def _repeated(rows: DataFrame) -> bool:
+    """Whether an id has several rows, so that it does not tell rows apart."""
+    return not rows.groupBy("id").count().filter("count > 1").isEmpty()
+
+
+def _groups(rows: DataFrame, words: int, pct: int) -> DataFrame:
+    """(id, n_shingles, component) of rows (id, text) of distinct ids. Copies are one row of the matrix."""
     sets = stash(document_sets(rows, words), "sets")
     reps = sets.filter("n_shingles > 0").groupBy("s1", "s2", "n_shingles").agg(F.min("id").alias("rep"))
     member = stash(sets.join(reps, ["s1", "s2", "n_shingles"], "left").select("id", "n_shingles", F.coalesce("rep", "id").alias("rep")), "members")
@@ -290,19 +309,67 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     second = counted(stash(again.withColumn("more", F.lit(False)), "second-pairs"), texts, words, pct)
     links = links.unionByName(second.filter("linked").select("a", "b"))
     labels = components(stash(links, "all-links"))
-    out = member.join(labels, F.col("rep") == F.col("node"), "left").select("id", "n_shingles", F.coalesce("label", "rep").alias("component"))
+    return member.join(labels, F.col("rep") == F.col("node"), "left").select("id", "n_shingles", F.coalesce("label", "rep").alias("component"))
+
+
+def _set_groups(rows: DataFrame, words: int, pct: int) -> DataFrame:
+    """(id, s1, s2, n_shingles, label) of rows (id, text) of any ids: rows of the matrix are distinct sets, numbered
+    apart from the ids, so every text of an id is joined. Sets without shingles have no label."""
+    marked = stash(marked_rows(rows, words), "marked")
+    sets = marked.filter("n_shingles > 0").dropDuplicates(SET).select(F.monotonically_increasing_id().alias("set"), *SET, "text")
+    sets = stash(sets, "distinct-sets")
+    labels = _groups(sets.select(F.col("set").alias("id"), "text"), words, pct).select(F.col("id").alias("set"), F.col("component").alias("label"))
+    named = stash(sets.select("set", *SET).join(labels, "set").drop("set"), "set-labels")
+    return stash(marked.select("id", *SET).join(_sized(named), SET, "left"), "set-members")
+
+
+def _linked_by_id(members: DataFrame) -> DataFrame:
+    """`members` with one label for all texts of an id; a null id links nothing."""
+    of_id = stash(members.filter(F.col("label").isNotNull() & (F.col("id") != NO_ID)).groupBy("id").agg(F.min("label").alias("low"), F.max("label").alias("high")), "labels-of-ids")
+    several = _sized(stash(of_id.filter("low <> high").select("id", "low"), "several"))
+    edges = members.join(several, "id").filter("label <> low").select(F.col("low").alias("a"), F.col("label").alias("b")).distinct()
+    joined = stash(components(stash(edges, "links-of-ids")).select(F.col("node").alias("label"), F.col("label").alias("joined")), "joined-labels")
+    members = members.join(_sized(of_id.select("id", "low")), "id", "left").withColumn("label", F.coalesce("label", "low")).drop("low")
+    return stash(members.join(_sized(joined), "label", "left").withColumn("label", F.coalesce("joined", "label")).drop("joined"), "linked-members")
+
+
+def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, pct: int = 90) -> DataFrame:
+    """(doc_id, n_shingles, component_id): documents linked where 100 * overlap >= pct * union of their shingle sets.
+
+    No link is missed, whatever the sizes of groups: see the module's text. Null or empty texts have no shingles and link with nothing.
+    Rows of equal id are one document, each with its own n_shingles; its texts link together. A null id tells nothing:
+    such rows link by their texts only. A component is named by its smallest id, null if it has none. Empty input gives no rows.
+    """
+    small_batches(docs.sparkSession)
+    rows = _rows(docs, id_col, text_col)
+    if _repeated(rows):
+        members = _linked_by_id(_set_groups(rows, words, pct))
+        least = stash(members.filter("label IS NOT NULL").groupBy("label").agg(F.min("id").alias("least")), "least-ids")
+        out = members.join(_sized(least), "label", "left").select("id", "n_shingles", F.coalesce("least", "id").alias("component"))
+    else:
+        out = _groups(rows, words, pct)
     null = lambda c: F.when(F.col(c) != NO_ID, F.col(c))
     return out.select(null("id").alias("doc_id"), "n_shingles", null("component").alias("component_id"))
 
 
 def without_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, pct: int = 80) -> DataFrame:
-    """One document of each group of `jaccard_groups`, that of the smallest id; of rows of equal id one stays."""
-    groups = stash(jaccard_groups(docs, id_col, text_col, words, pct), "groups")
-    gone = stash(groups.filter("doc_id <> component_id OR component_id IS NOT NULL AND doc_id IS NULL").select(F.coalesce("doc_id", F.lit(NO_ID)).alias("x_id")).distinct(), "gone")
-    keyed = docs.join(_sized(gone), F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)) == F.col("x_id"), "left_anti")
-    if groups.groupBy("doc_id").count().filter("count > 1").isEmpty():
-        return keyed
-    return keyed.dropDuplicates([id_col])
+    """One document of each group of texts linked as in `jaccard_groups`, that of the smallest id (null ids last).
+
+    Here rows link by their texts only, so rows of equal or null id stay unless their texts are copies. Texts without
+    shingles stay, one of each id; all of those of null id.
+    """
+    small_batches(docs.sparkSession)
+    rows = _rows(docs, id_col, text_col)
+    if not _repeated(rows):
+        gone = stash(_groups(rows, words, pct).filter("id <> component").select(F.col("id").alias("x_id")), "gone")
+        return docs.join(_sized(gone), F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)) == F.col("x_id"), "left_anti")
+    members = _set_groups(rows, words, pct).filter("label IS NOT NULL")
+    first = stash(members.groupBy("label").agg(F.min(F.struct("id", *SET)).alias("top")).select("top.*"), "first-of-groups")
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.col(text_col).alias("text"))
+    keyed = stash(marked_rows(keyed, words).drop("text"), "marked-rows")
+    bare = F.col("n_shingles") == 0
+    once = keyed.filter(~bare).join(_sized(first), ["id", *SET], "left_semi").unionByName(keyed.filter(bare & (F.col("id") != NO_ID))).dropDuplicates(["id", *SET])
+    return once.unionByName(keyed.filter(bare & (F.col("id") == NO_ID))).select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
 def op10_ngram_join(spark, sf_dir):

@@ -126,6 +126,25 @@ def test_join_equals_brute_force(spark, n, pct):
     assert got == brute_groups(texts, n, pct)
 
 
+def test_repeated_and_null_ids_keep_unlike_texts(spark):
+    a, b, c, d, e = ([f"{x}{i}" for i in range(60)] for x in "abcde")
+    near = lambda t: " ".join([*t[:59], "other"])
+    a, b, c, d, e = ((" ".join(t), near(t)) for t in (a, b, c, d, e))
+    rows = [(1, a[0]), (None, a[0]), (None, b[0]), (None, b[1]), (None, c[0]), (5, a[1]), (5, d[0]), (7, d[1]), (5, e[0]), (5, e[0]), (None, ""), (None, None), (6, ""), (6, None), (5, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = [(r.doc_id, r.text) for r in ngram_join.without_near_copies(docs, words=3, pct=90).collect()]
+    words = sorted((i or 0, t) for i, t in kept if t)
+    assert len([t for _, t in kept if not t]) == 4 and [(i, t) for i, t in words if t not in b] == sorted([(1, a[0]), (0, c[0]), (5, d[0]), (5, e[0])])
+    assert len([t for i, t in words if t in b]) == 1
+    got = ngram_join.jaccard_groups(docs).collect()
+    assert len(got) == len(rows)
+    by = defaultdict(list)
+    for r in got:
+        by[r.doc_id].append((r.n_shingles, r.component_id))
+    assert by[1] == [(58, 1)] and by[7] == [(58, 1)] and sorted(by[5]) == [(0, 1), *[(58, 1)] * 4] and by[6] == [(0, 6)] * 2
+    assert sorted(x for x in by[None] if x[0] and x[1]) == [(58, 1)] and len([x for x in by[None] if x == (58, None)]) == 3
+
+
 def test_counts_and_ids_equal_the_library(spark):
     from tokenizers import Tokenizer
 
