@@ -91,8 +91,7 @@ class Automaton:
                 state, n = self.step(state, n, w)
                 if n >= window:
                     self.items[self._at(state, window)].add(name)
-            if len(ids) < window:
-                self.wholes[state].append((len(ids), name))
+            self.wholes[state].append((len(ids), name))
         for state in sorted(range(1, len(self.link)), key=self.length.__getitem__):
             self.wholes[state] = self.wholes[state] + self.wholes[self.link[state]]
         return self
@@ -111,8 +110,10 @@ class Automaton:
             n = self.length[state]
         return self.nexts[state][word], n + 1
 
-    def hits(self, words: list[bytes]) -> tuple[np.ndarray | None, set[str]]:
-        """Which words are inside an occurrence of a window (None: none are), and the items with such windows."""
+    def hits(self, words: list[bytes], whole: list[tuple[int, int]] | None = None) -> tuple[np.ndarray | None, set[str]]:
+        """Which words are inside an occurrence of a window (None: none are), and the items with such windows.
+
+        The spans of complete items, whatever their length, are added to `whole`."""
         ids = np.fromiter(map(self.vocab.get, words, [-1] * len(words)), dtype=np.int32, count=len(words))
         known = np.flatnonzero(np.diff(np.r_[False, ids >= 0, False].astype(np.int8)))
         marks, found = None, set()
@@ -129,6 +130,10 @@ class Automaton:
                     found |= self.items[self._at(state, self.window)]
                 for m, name in self.wholes[state]:
                     if m <= n:
+                        if whole is not None:
+                            whole.append((k + 1 - m, k + 1))
+                        if m >= self.window:
+                            continue
                         if marks is None:
                             marks = np.zeros(len(words), dtype=bool)
                         marks[k + 1 - m : k + 1] = True
@@ -150,8 +155,13 @@ def benchmark_blocks(benchmark: DataFrame, id_col: str, text_col: str, block_wor
     return blocks
 
 
+def unpacked(bits: bytes, n: int) -> np.ndarray:
+    return np.unpackbits(np.frombuffer(bits, np.uint8), count=n).astype(bool)
+
+
 def match_benchmark(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 10, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """`docs` in a struct `row`, with n_words, n_hit, marks (a bit a word: inside a window) and items.
+    """`docs` in a struct `row`, with n_words, n_hit, marks (a bit a word: inside a window), items and whole (a bit a word:
+    inside a complete item).
 
     A window is `window` consecutive words of an item, or all words of a shorter one. Null or empty texts have no
     words; items without words match nothing; a null item id reads as an empty string. Rows are independent, so
@@ -162,7 +172,7 @@ def match_benchmark(docs: DataFrame, benchmark: DataFrame, text_col: str = "text
     small_batches(spark)
     names = docs.columns
     out = docs.select(
-        F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.lit(0).cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_hit"), F.lit(None).cast("binary").alias("marks"), F.array().cast("array<string>").alias("items")
+        F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.lit(0).cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_hit"), F.lit(None).cast("binary").alias("marks"), F.array().cast("array<string>").alias("items"), F.lit(None).cast("binary").alias("whole")
     )
     blocks = benchmark_blocks(benchmark, item_id, item_text, block_words)
     at = names.index(text_col)
@@ -173,18 +183,24 @@ def match_benchmark(docs: DataFrame, benchmark: DataFrame, text_col: str = "text
             automaton = Automaton.build(shared.value, window)
             for batch in batches:
                 texts = batch.column(0).field(at).to_pylist()
-                counts, sums, marks, items = [], [], [], []
-                for text, old, had in zip(texts, batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True):
-                    words = words_of(text)
-                    hit, found = automaton.hits(words)
+                counts, sums, marks, items, wholes = [], [], [], [], []
+                for text, old, had, old_whole in zip(texts, *(batch.column(c).to_pylist() for c in (3, 4, 5)), strict=True):
+                    words, spans = words_of(text), []
+                    hit, found = automaton.hits(words, spans)
                     if old is not None:
-                        before = np.unpackbits(np.frombuffer(old, np.uint8), count=len(words)).astype(bool)
+                        before = unpacked(old, len(words))
                         hit = before if hit is None else hit | before
+                    whole = None if old_whole is None else unpacked(old_whole, len(words))
+                    if spans and whole is None:
+                        whole = np.zeros(len(words), dtype=bool)
+                    for i, j in spans:
+                        whole[i:j] = True
+                    wholes.append(None if whole is None else np.packbits(whole).tobytes())
                     counts.append(len(words))
                     sums.append(0 if hit is None else int(hit.sum()))
                     marks.append(None if hit is None else np.packbits(hit).tobytes())
                     items.append(sorted(found.union(had)))
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(sums, pa.int64()), pa.array(marks, pa.binary()), pa.array(items, pa.list_(pa.string()))], ["row", "n_words", "n_hit", "marks", "items"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(sums, pa.int64()), pa.array(marks, pa.binary()), pa.array(items, pa.list_(pa.string())), pa.array(wholes, pa.binary())], ["row", "n_words", "n_hit", "marks", "items", "whole"])
 
         out = out.mapInArrow(run, out.schema)
         if k + 1 < len(blocks):
@@ -192,21 +208,27 @@ def match_benchmark(docs: DataFrame, benchmark: DataFrame, text_col: str = "text
     return out
 
 
-def cleaned(text: str, marks: np.ndarray, min_span: int) -> str:
-    """`text` without the runs of marked words that are at least `min_span` words long."""
-    spans = list(WORD_SPANS.finditer(text))
+def runs_of(marks: np.ndarray) -> list[tuple[int, int]]:
     edges = np.flatnonzero(np.diff(np.r_[False, marks, False].astype(np.int8)))
+    return list(zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True))
+
+
+def cleaned(text: str, marks: np.ndarray, min_span: int, whole: np.ndarray | None = None) -> str:
+    """`text` without the runs of marked words that are at least `min_span` words long, and without the words of `whole`."""
+    spans = list(WORD_SPANS.finditer(text))
+    cut = np.zeros(len(marks), dtype=bool) if whole is None else whole.copy()
+    for i, j in runs_of(marks):
+        cut[i:j] |= j - i >= min_span
     out, at = [], 0
-    for i, j in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True):
-        if j - i >= min_span:
-            out.append(text[at : spans[i].start()])
-            at = spans[j - 1].end()
+    for i, j in runs_of(cut):
+        out.append(text[at : spans[i].start()])
+        at = spans[j - 1].end()
     return "".join([*out, text[at:]])
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", window: int = 10, min_span: int = 10, max_coverage: float = 0.5, **options) -> DataFrame:
-    """`docs` without benchmark passages: runs of at least `min_span` hit words are cut out of the text; documents of
-    which more than `max_coverage` is hit go as a whole. Texts without hits stay as they are, null ones too."""
+    """`docs` without benchmark passages: complete items, however short, and runs of at least `min_span` hit words are
+    cut out of the text; documents of which more than `max_coverage` is hit go as a whole. Texts without hits stay as they are, null ones too."""
     matched = match_benchmark(docs, benchmark, text_col, window=window, **options)
     at = docs.columns.index(text_col)
     schema = docs.schema
@@ -214,13 +236,13 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             row, keep, texts = batch.column(0), [], []
-            for text, n, packed in zip(row.field(at).to_pylist(), batch.column(1).to_pylist(), batch.column(3).to_pylist(), strict=True):
+            for text, n, packed, whole in zip(row.field(at).to_pylist(), *(batch.column(c).to_pylist() for c in (1, 3, 5)), strict=True):
                 if packed is None:
                     keep.append(True)
                 else:
-                    marks = np.unpackbits(np.frombuffer(packed, np.uint8), count=n).astype(bool)
+                    marks = unpacked(packed, n)
                     keep.append(bool(marks.sum() <= max_coverage * n))
-                    text = cleaned(text, marks, min_span)
+                    text = cleaned(text, marks, min_span, None if whole is None else unpacked(whole, n))
                 texts.append(text)
             columns = [pa.array(texts, row.field(i).type) if i == at else row.field(i) for i in range(row.type.num_fields)]
             yield pa.RecordBatch.from_arrays(columns, schema.names).filter(pa.array(keep))

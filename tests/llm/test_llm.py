@@ -202,6 +202,18 @@ def test_benchmark_in_blocks_and_cleaning(spark):
     assert set(out) == {1, 3} and "ALPHA" not in out[1] and out[1].startswith("Before, ; after x")
 
 
+def test_complete_items_are_cut_whatever_their_length(spark):
+    short, long = "What is the capital of Peru?", " ".join(f"q{i}" for i in range(14))
+    rest = " ".join(f"x{i}" for i in range(40))
+    texts = {1: f"Ask: {short} {rest}", 2: f"{rest} {long} end", 3: f"{rest} {long.removesuffix(' q13')} end", 4: f"What is the capital of Chile {rest}"}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    bench = spark.createDataFrame([(1, short), (2, long)], "item_id long, text string")
+    for options in ({}, {"block_words": 3}):
+        out = {r.doc_id: r.text for r in decontaminate.decontaminate(docs, bench, min_span=20, **options).collect()}
+        assert out == texts | {1: f"Ask: ? {rest}", 2: f"{rest}  end"}
+    assert {r.doc_id: r.text for r in decontaminate.decontaminate(docs, bench).collect()} == texts | {1: f"Ask: ? {rest}", 2: f"{rest}  end", 3: f"{rest}  end"}
+
+
 def test_line_runs_levels(spark):
     store = line_dedup.LineRuns(spark, fanout=2)
     rows = lambda xs: spark.createDataFrame([(x, -x, i) for i, x in xs], "h1 long, h2 long, id long")
