@@ -141,14 +141,17 @@ def decide(b: Block, has_article: bool) -> bool | None:
 def main_text(page: str | None) -> str:
     """The page's main text: content blocks in page order, joined by a blank.
 
-    First pass: blocks in boilerplate elements or of mostly links go; where the page marks an article, what lies in it
-    stays; elsewhere length and stop-word density decide. Second pass: undecided blocks take the label of the nearest
+    First pass: blocks in boilerplate elements or of mostly links go; length and stop-word density decide on the others.
+    Where the page marks an article with at least as much text as they find outside it, what lies in it stays instead. Second pass: undecided blocks take the label of the nearest
     decided neighbours; where the nearest before and after differ, the closer counts, and at equal distance the block
     goes unless it is a heading before content.
     """
     found = blocks_of(page or "")
-    has_article = any(b.in_article and not b.hidden for b in found)
-    first = [decide(b, has_article) for b in found]
+    plain = [decide(b, False) for b in found]
+    inside = sum(len(b.text) for b in found if b.in_article and decide(b, True))
+    outside = sum(len(b.text) for b, content in zip(found, plain, strict=True) if content and not b.in_article)
+    has_article = any(b.in_article and not b.hidden for b in found) and inside >= outside
+    first = [decide(b, True) for b in found] if has_article else plain
     before, after = [None] * len(first), [None] * len(first)
     for order, near in ((range(len(first)), before), (range(len(first) - 1, -1, -1), after)):
         seen = None

@@ -242,6 +242,13 @@ def test_main_text():
     assert html_text.main_text(plain).startswith("Title here It is") and "Link" not in html_text.main_text(plain)
 
 
+def test_main_text_outside_a_teaser():
+    body = "<p>" + "It is the story of a man who was in the town and had all that he would want there. " * 4 + "</p>"
+    page = f"<body><h1>Title here</h1>{body}{body}<article><p>Read more of it.</p></article></body>"
+    assert html_text.main_text(page).count("story") == 8
+    assert html_text.main_text(f"<body>{body}<article>{body}{body}</article></body>").count("story") == 8
+
+
 def test_url_rules(spark):
     urls = {1: "https://WWW.Example.com/en/x?q", 2: "http://a.example.com/en/y", 3: "http://a.com", 4: "http://b.net/fr/", 5: None, 6: "no scheme", 7: "http://com/z#f", 8: "http://q.org/1"}
     pages = spark.createDataFrame([(k, u) for k, u in urls.items()], "page_id long, url string")
