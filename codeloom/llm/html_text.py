@@ -29,7 +29,7 @@ UNENDED = re.compile(r"</?[a-zA-Z][^>]*\Z|<!--.*\Z", re.S)
 ATTR = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 
 SHORT, LONG = 70, 200
-LINKED, STOPPED = 0.5, 0.3
+LINKED, BARELY_LINKED, STOPPED = 0.5, 0.1, 0.3
 
 
 @dataclass
@@ -135,13 +135,16 @@ def decide(b: Block, has_article: bool) -> bool | None:
         return None
     if stops >= STOPPED:
         return True
-    return None if len(b.text) < LONG or stops >= STOPPED / 2 else False
+    if len(b.text) < LONG or stops >= STOPPED / 2:
+        return None
+    return density <= BARELY_LINKED
 
 
 def main_text(page: str | None) -> str:
     """The page's main text: content blocks in page order, joined by a blank.
 
     First pass: blocks in boilerplate elements or of mostly links go; length and stop-word density decide on the others.
+    Long blocks without stop words (other languages, tables, code) are content if barely linked.
     Where the page marks an article with at least as much text as they find outside it, what lies in it stays instead. Second pass: undecided blocks take the label of the nearest
     decided neighbours; where the nearest before and after differ, the closer counts, and at equal distance the block
     goes unless it is a heading before content.

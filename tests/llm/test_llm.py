@@ -249,6 +249,14 @@ def test_main_text_outside_a_teaser():
     assert html_text.main_text(f"<body>{body}<article>{body}{body}</article></body>").count("story") == 8
 
 
+def test_long_blocks_without_stop_words():
+    links = "<ul><li><a href=x>Some link one</a><li><a href=y>Some link two</a></ul>"
+    for text in ("Жили были старик со старухой у самого синего моря " * 6, "很久以前有一个小村庄" * 30, "alpha = beta + gamma; print(alpha) " * 9):
+        assert html_text.main_text(f"<body>{links}<p>{text}</p>{links}</body>") == text.strip()
+    linked = "<a href=x>Word list entry</a> word word word " * 9
+    assert html_text.main_text(f"<body>{links}<p>{linked}</p>{links}</body>") == ""
+
+
 def test_url_rules(spark):
     urls = {1: "https://WWW.Example.com/en/x?q", 2: "http://a.example.com/en/y", 3: "http://a.com", 4: "http://b.net/fr/", 5: None, 6: "no scheme", 7: "http://com/z#f", 8: "http://q.org/1"}
     pages = spark.createDataFrame([(k, u) for k, u in urls.items()], "page_id long, url string")
