@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
+import gc
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,3 +56,32 @@ def small_batches(spark: SparkSession, rows: int = 256, size: int = 16 << 20) ->
     for name, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", rows), ("spark.sql.execution.arrow.maxBytesPerBatch", size)):
         if not 0 < int(spark.conf.get(name).removesuffix("b")) <= most:
             spark.conf.set(name, most)
+
+
+def give_back() -> None:
+    """Return unused memory of this process to the system: Python's, Arrow's, then the C library's."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def tidy(run):
+    """A function for mapInArrow that returns its memory when its task ends, as workers are kept for later tasks."""
+
+    @functools.wraps(run)
+    def tidied(batches):
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return tidied
+
+
+def whole_ids(docs: DataFrame, id_col: str) -> None:
+    """Raise unless the ids are whole numbers (of any width): other ids have no place in a 64-bit order."""
+    kind = docs.schema[id_col].dataType.simpleString()
+    if kind not in ("tinyint", "smallint", "int", "bigint", "void"):
+        raise ValueError(f"{id_col} must be of a whole number type, not {kind}")

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, stash
+from .common import small_batches, stash, tidy
 
 #: Every byte that is not part of a word becomes a blank; A-Z become a-z. Bytes from 0x80 on are parts of words.
 FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -179,6 +179,7 @@ def match_benchmark(docs: DataFrame, benchmark: DataFrame, text_col: str = "text
     for k, block in enumerate(blocks):
         shared = spark.sparkContext.broadcast(block)
 
+        @tidy
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             automaton = Automaton.build(shared.value, window)
             for batch in batches:
@@ -233,6 +234,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
     at = docs.columns.index(text_col)
     schema = docs.schema
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             row, keep, texts = batch.column(0), [], []

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import small_batches, tidy
 
 #: Elements that end a block, whose content is no text, that hold boilerplate, and never closed.
 BLOCKS = frozenset("address article aside blockquote body br caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html li main menu nav ol p pre section summary table tbody td tfoot th thead title tr ul".split())
@@ -191,6 +191,7 @@ def extract(pages: DataFrame, html_col: str = "html") -> DataFrame:
     rows = pages.select(F.struct(F.lit(0).alias("_"), *[F.col(f"`{f.name}`") for f in others]).alias("row"), F.col(html_col).alias("html"))
     schema = type(rows.schema)([rows.schema["row"]]).add("text", "string").add("n_chars", "long")
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [main_text(p) for p in batch.column(1).to_pylist()]

@@ -1,16 +1,17 @@
 """N-gram Jaccard join by a blocked product of the document by n-gram incidence matrix.
 
-Rows of the matrix are documents with distinct sets of n-grams, columns are n-grams (64-bit hashes). The columns are
-dealt to column blocks by hash, as many as the size-derived bound on the number of differing n-grams, plus one: two
-rows that meet the Jaccard bound then agree fully in at least one block, so the product is only formed between rows
-that share a block's content, and overlap counts of such rows are completed and compared with the bound.
-
-Many rows may share a block's content. One of them, the row that shares most blocks with others, leads: its overlaps
-with all of them are counted first. The overlap of two others, x and y, then follows from their differences from the
-leader, dx and dy: x and y differ in |dx| + |dy| - 2 |dx & dy| n-grams. If that meets the bound without a common
-difference, both meet it with the leader too; else they share at least one n-gram of a prefix of their differences,
-and only such pairs, of rows that links have not yet brought together, are counted. So a group of thousands of copies
-with edits of their own costs in proportion to its rows.
+Rows of the matrix are documents with distinct sets of n-grams, columns are n-grams (64-bit hashes). Columns have one
+order for all rows: by how often the slots that they hash to are filled in the whole corpus, then by hash. Of two rows
+that meet the Jaccard bound, the prefixes of n - ceil(pct * n / 100) + 1 columns share one. So the product is formed
+column by column over the prefixes only, where common passages come last, and products of rows that cannot reach the
+bound by their sizes and the places of a shared column are discarded; overlaps of the others are counted in full.
+
+Many rows may share a column. One of them, the row that shares most columns with others, leads: its overlaps with all
+of them are counted first. Where the others do not all link to one group, the overlap of two of them, x and y, follows
+from their differences from the leader, dx and dy: x and y differ in |dx| + |dy| - 2 |dx & dy| n-grams. If that meets
+the bound without a common difference, both meet it with the leader too; else they share at least one n-gram of a
+prefix of their differences, and only such pairs, of rows that links have not yet brought together, are counted. So a
+group of thousands of copies with edits of their own costs in proportion to its rows.
 """
 
 from __future__ import annotations
@@ -21,10 +22,11 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, stash
+from .common import small_batches, stash, tidy, whole_ids
 
 #: Stands for a null id; sorts after all others.
 NO_ID = (1 << 63) - 1
@@ -35,6 +37,10 @@ IS_BLANK = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 BYTE = np.where(IS_BLANK, 0, np.random.Generator(np.random.PCG64(11)).integers(1, 1 << 64, 256, dtype=np.uint64))
 ODD = 0x9E3779B97F4A7C15
 U = np.uint64
+#: Columns hash to so many slots, whose counts are made in chunks; so many partial counts are added up at a time.
+SLOT_BITS, CHUNK_BITS, ADDED = 20, 14, 256
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> U(30))) * U(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> U(27))) * U(0x94D049BB133111EB)
@@ -93,48 +99,15 @@ def pieces(batch: pa.RecordBatch, column: int, size: int = 1 << 19) -> Iterator[
             at, n = i + 1, 0
 
 
-@lru_cache(maxsize=None)
-def class_starts(pct: int) -> list[int]:
-    """First sizes of the size classes: sets that meet the bound are of one class or of neighbouring ones."""
-    starts = [1]
-    while starts[-1] < 1 << 40:
-        starts.append(starts[-1] * 100 // pct + 1)
-    return starts
+def slots(grams: np.ndarray) -> np.ndarray:
+    return (grams >> U(64 - SLOT_BITS)).astype(np.int64)
 
 
-@lru_cache(maxsize=4096)
-def blocks_for(cls: int, pct: int) -> tuple[int, int]:
-    """(column blocks, empty ones allowed) for pairs whose larger set is of this class.
-
-    Such pairs differ in at most d n-grams, so of d + 1 + m blocks at least 1 + m agree; if either set has at most m
-    empty blocks, one that agrees is not empty.
-    """
-    starts = class_starts(pct)
-    d = 2 * (starts[cls + 1] - 1) * (100 - pct) // (100 + pct)
-    empty = (d + 1) * math.exp(-starts[cls] * pct / 100 / (d + 1))
-    m = math.ceil(2 * empty + 0.5)
-    return d + 1 + m, m
-
-
-def block_keys(grams: np.ndarray, pct: int) -> np.ndarray:
-    """A key for each non-empty column block of a set: equal keys mean equal content of the same block."""
-    n, starts, out = len(grams), class_starts(pct), []
-    if not n:
-        return grams
-    cls = int(np.searchsorted(starts, n, side="right")) - 1
-    mixed = mix(grams + U(0x632BE59BD9B4E019))
-    for c in (cls, cls + 1):
-        if c > cls and 100 * n < pct * starts[c]:
-            continue
-        k, m = blocks_for(c, pct)
-        block = ((grams >> U(32)) * U(k)) >> U(32)
-        first = np.flatnonzero(np.r_[True, block[1:] != block[:-1]])
-        tag = block[first] * U(0x9E3779B97F4A7C15) + U((c + 1) * 0xD6E8FEB86659FD93 & (1 << 64) - 1)
-        out.append(mix(np.add.reduceat(mixed, first) ^ mix(tag)))
-        if k - len(first) > m:  # too many empty blocks: single n-grams of the set's prefix in hash order besides
-            prefix = grams[: n - -(-pct * n // 100) + 1]
-            out.append(mix(prefix ^ mix(np.full(1, c + 1, dtype=U) * U(0xA0761D6478BD642F))))
-    return np.unique(np.concatenate(out))
+def prefix_keys(grams: np.ndarray, pct: int, levels: np.ndarray) -> np.ndarray:
+    """The columns of a set that come first in the order of all columns, as many as its size and the bound ask for."""
+    n = len(grams)
+    order = np.argsort(levels[slots(grams)], kind="stable")
+    return grams[order[: n - -(-pct * n // 100) + 1]] if n else grams
 
 
 def set_sums(grams: np.ndarray) -> tuple[int, int]:
@@ -143,18 +116,50 @@ def set_sums(grams: np.ndarray) -> tuple[int, int]:
 
 
 def document_sets(rows: DataFrame, n: int) -> DataFrame:
-    """(id, s1, s2, n_shingles) of rows (id, text)."""
+    """(id, s1, s2, n_shingles) of rows (id, text); and, with part, chunk and counts set instead, each task's counts of
+    filled slots, a chunk of slots a row."""
+    names = ["id", "s1", "s2", "n_shingles", "part", "chunk", "counts"]
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(1 << SLOT_BITS, dtype=np.int64)
         for batch in batches:
-            sets = [g for _, some in pieces(batch, 1) for g in gram_sets(some, n)]
-            sums = [set_sums(s) for s in sets]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([s[0] for s in sums], pa.int64()), pa.array([s[1] for s in sums], pa.int64()), pa.array([len(s) for s in sets], pa.int64())],
-                ["id", "s1", "s2", "n_shingles"],
-            )
+            sums = []
+            for _, some in pieces(batch, 1):
+                sets = gram_sets(some, n)
+                counts += np.bincount(slots(np.concatenate(sets)), minlength=len(counts))
+                sums += [(*set_sums(s), len(s)) for s in sets]
+            cols = [batch.column(0), *(pa.array([s[k] for s in sums], pa.int64()) for k in range(3))]
+            yield pa.RecordBatch.from_arrays([*cols, *(pa.nulls(len(sums), k) for k in kinds[4:])], names)
+        chunks = counts.astype("<i8").reshape(-1, 1 << CHUNK_BITS)
+        part = TaskContext.get().partitionId()
+        cols = [pa.nulls(len(chunks), k) for k in kinds[:4]]
+        yield pa.RecordBatch.from_arrays([*cols, pa.array([part] * len(chunks), kinds[4]), pa.array(range(len(chunks)), kinds[5]), pa.array([c.tobytes() for c in chunks], kinds[6])], names)
+
+    return rows.mapInArrow(run, "id long, s1 long, s2 long, n_shingles long, part int, chunk int, counts binary")
+
+
+def slot_levels(partial: DataFrame) -> np.ndarray:
+    """A byte for each slot that grows with the logarithm of its count, from rows (part, chunk, counts) of all tasks.
+
+    Counts are added up in groups of at most ADDED rows, so no group grows with the input; the driver reads one count
+    a slot.
+    """
+
+    def add(table: pa.Table) -> pa.Table:
+        total = sum(np.frombuffer(c, "<i8") for c in table.column("counts").to_pylist())
+        first = table.slice(0, 1)
+        return pa.table({"part": pa.array([first.column("part")[0].as_py() // ADDED], pa.int32()), "chunk": first.column("chunk").cast(pa.int32()), "counts": pa.array([total.tobytes()], pa.binary())})
 
-    return rows.mapInArrow(run, "id long, s1 long, s2 long, n_shingles long")
+    parts = (partial.agg(F.max("part")).first()[0] or 0) + 1
+    while parts > 1:
+        partial = stash(partial.groupBy("chunk", F.floor(F.col("part") / ADDED).alias("some")).applyInArrow(add, "part int, chunk int, counts binary"), "slot-counts")
+        parts = -(-parts // ADDED)
+    counts = np.zeros((1 << SLOT_BITS - CHUNK_BITS, 1 << CHUNK_BITS))
+    for r in partial.select("chunk", "counts").collect():
+        counts[r["chunk"]] = np.frombuffer(r["counts"], "<i8")
+    return np.minimum(np.log2(counts.ravel() + 1) * 8, 255).astype(np.uint8)
 
 
 def marked_rows(rows: DataFrame, n: int) -> DataFrame:
@@ -163,6 +168,7 @@ def marked_rows(rows: DataFrame, n: int) -> DataFrame:
     for name in ("s1", "s2", "n_shingles"):
         schema = schema.add(name, "long")
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [g for _, some in pieces(batch, at) for g in gram_sets(some, n)]
@@ -172,16 +178,24 @@ def marked_rows(rows: DataFrame, n: int) -> DataFrame:
     return rows.mapInArrow(run, schema)
 
 
-def document_keys(rows: DataFrame, n: int, pct: int) -> DataFrame:
-    """(key, id): the block keys of rows (id, text)."""
+def document_keys(rows: DataFrame, n: int, pct: int, levels: np.ndarray) -> DataFrame:
+    """(key, id, pos, size): the prefix columns of rows (id, text), their places in the prefix, and the set's size."""
+    shared = rows.sparkSession.sparkContext.broadcast(levels.tobytes())
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        levels = np.frombuffer(shared.value, np.uint8)
         for batch in batches:
-            keys = [block_keys(g, pct).view(np.int64) for _, some in pieces(batch, 1) for g in gram_sets(some, n)]
-            ids = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), [len(k) for k in keys])
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *keys])), pa.array(ids, pa.int64())], ["key", "id"])
+            ids = batch.column(0).to_numpy(zero_copy_only=False)
+            for at, some in pieces(batch, 1):
+                sets = gram_sets(some, n)
+                keys = [prefix_keys(g, pct, levels).view(np.int64) for g in sets]
+                k = np.array([len(x) for x in keys])
+                spots = np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k)
+                sizes = np.repeat([len(g) for g in sets], k)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.repeat(ids[at : at + len(some)], k), pa.int64()), pa.array(spots, pa.int32()), pa.array(sizes, pa.int32())], ["key", "id", "pos", "size"])
 
-    return rows.mapInArrow(run, "key long, id long")
+    return rows.mapInArrow(run, "key long, id long, pos int, size int")
 
 
 def slack(x: int, y: int, pct: int) -> int:
@@ -196,35 +210,42 @@ def counted(pairs: DataFrame, texts: DataFrame, n: int, pct: int) -> DataFrame:
     from a as much or more."""
     joined = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
     names = ["a", "b", "linked", "gram", "size", "off", "pos", "near"]
+    kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.bool_())
+    empty = pa.RecordBatch.from_arrays([pa.array([], t) for t in kinds], names)
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = [batch.column(k).to_pylist() for k in (0, 1)]
-            right = [g for _, some in pieces(batch, 3) for g in gram_sets(some, n)]
-            lead_texts = dict(zip(ids[0], batch.column(2).to_pylist(), strict=True))
-            left = dict(zip(lead_texts, gram_sets(list(lead_texts.values()), n), strict=True))
-            cols: list[list] = [[] for _ in names]
-
-            def put(*values, cols=cols) -> None:
-                for c, v in zip(cols, values, strict=True):
-                    c.append(v)
-
-            for a, b, more, y in zip(*ids, batch.column(4).to_pylist(), right, strict=True):
-                x = left[a]
-                added, removed = np.setdiff1d(y, x, assume_unique=True), np.setdiff1d(x, y, assume_unique=True)
-                off = len(added) + len(removed)
-                linked = off <= slack(len(x), len(y), pct)
-                put(a, b, linked, None, len(y), off, None, None)
-                if more:
-                    most = slack(len(y), len(y) * 100 // pct, pct)
-                    near = most // 2 + 1
-                    prefix = np.concatenate((added, removed))[: most + 1].view(np.int64).tolist()
-                    size = len(prefix)
-                    repeated = ([x] * size for x in (a, b, linked))
-                    for c, v in zip(cols, (*repeated, prefix, [len(y)] * size, [off] * size, range(size), [k < near for k in range(size)]), strict=True):
-                        c += v
-            kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.bool_())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names)
+            left: dict[int, np.ndarray] = {}
+            leads = batch.column(2).to_pylist()
+            for a, text in zip(ids[0], leads, strict=True):
+                if a not in left:
+                    left[a] = gram_sets([text], n)[0]
+            del leads
+            heads, tails = [], []
+            more = batch.column(4).to_pylist()
+            for at, some in pieces(batch, 3):
+                for k, y in enumerate(gram_sets(some, n), at):
+                    a, b = ids[0][k], ids[1][k]
+                    x = left[a]
+                    added, removed = np.setdiff1d(y, x, assume_unique=True), np.setdiff1d(x, y, assume_unique=True)
+                    off = len(added) + len(removed)
+                    linked = off <= slack(len(x), len(y), pct)
+                    heads.append((a, b, linked, len(y), off))
+                    if more[k]:
+                        most = slack(len(y), len(y) * 100 // pct, pct)
+                        prefix = np.concatenate((added, removed))[: most + 1].view(np.int64)
+                        tails.append((a, b, linked, prefix, len(y), off, most // 2 + 1))
+            nothing = pa.nulls(len(heads))
+            cols = list(zip(*heads, strict=True))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip((cols[0], cols[1], cols[2], nothing, cols[3], cols[4], nothing, nothing), kinds, strict=True)], names) if heads else empty
+            if tails:
+                m = np.array([len(t[3]) for t in tails])
+                pos = np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)
+                a, b, linked, size, off, near = (np.repeat(np.array([t[k] for t in tails]), m) for k in (0, 1, 2, 4, 5, 6))
+                grams = np.concatenate([t[3] for t in tails])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip((a, b, linked, grams, size.astype(np.int32), off.astype(np.int32), pos.astype(np.int32), pos < near), kinds, strict=True)], names)
 
     return joined.select("a", "b", "text_a", "text_b", "more").mapInArrow(run, "a long, b long, linked boolean, gram long, size int, off int, pos int, near boolean")
 
@@ -285,33 +306,54 @@ def _repeated(rows: DataFrame) -> bool:
 
 def _groups(rows: DataFrame, words: int, pct: int) -> DataFrame:
     """(id, n_shingles, component) of rows (id, text) of distinct ids. Copies are one row of the matrix."""
-    sets = stash(document_sets(rows, words), "sets")
-    reps = sets.filter("n_shingles > 0").groupBy("s1", "s2", "n_shingles").agg(F.min("id").alias("rep"))
-    member = stash(sets.join(reps, ["s1", "s2", "n_shingles"], "left").select("id", "n_shingles", F.coalesce("rep", "id").alias("rep")), "members")
+    marked = stash(document_sets(rows, words), "sets")
+    levels = slot_levels(marked.filter("chunk IS NOT NULL").select("part", "chunk", "counts"))
+    sets = marked.filter("chunk IS NULL").select("id", *SET)
+    reps = sets.filter("n_shingles > 0").groupBy(*SET).agg(F.min("id").alias("rep"))
+    member = stash(sets.join(reps, SET, "left").select("id", "n_shingles", F.coalesce("rep", "id").alias("rep")), "members")
     copies = stash(member.filter("id <> rep").select("id").distinct(), "copies")
     alone = rows.join(_sized(copies), "id", "left_anti")
 
-    bucket = Window.partitionBy("key")
-    shared = document_keys(alone, words, pct).withColumn("n", F.count(F.lit(1)).over(bucket)).filter("n > 1")
-    shared = stash(shared, "blocks")
+    keys = stash(document_keys(alone, words, pct, levels), "columns")
+    often = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    shared = stash(keys.join(often, "key"), "shared-columns")
     weight = shared.groupBy("id").agg(F.sum("n").alias("weight"))
-    ranked = shared.join(weight, "id").select("key", "n", F.struct("weight", (-F.col("id")).alias("id")).alias("at"))
-    leads = ranked.groupBy("key").agg((-F.max("at").getField("id")).alias("lead"), F.max("n").alias("n"))
-    led = shared.select("key", "id").join(leads, "key").filter("id <> lead")
-    pairs = stash(led.groupBy(F.col("lead").alias("a"), F.col("id").alias("b")).agg((F.max("n") > 2).alias("more")), "pairs")
-    ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    texts = stash(rows.join(_sized(stash(ids, "candidates")), "id", "left_semi").dropDuplicates(["id"]), "candidate-texts")
-
-    first = stash(counted(pairs, texts, words, pct), "counted")
-    links = first.filter("linked AND gram IS NULL").select("a", "b")
+    ranked = shared.join(weight, "id").select("key", F.struct("weight", (-F.col("id")).alias("id"), "pos", "size").alias("at"))
+    leads = ranked.groupBy("key").agg(F.max("at").alias("lead"))
+    leads = leads.select("key", (-F.col("lead.id")).alias("a"), F.col("lead.pos").alias("pos_a"), F.col("lead.size").alias("size_a"))
+    led = shared.join(leads, "key").filter("id <> a").select("key", "a", F.col("id").alias("b"), "size", _reachable(pct).alias("reachable"))
+    led = stash(led, "led")
+    pairs = stash(led.groupBy("a", "b").agg(F.min("reachable").alias("reachable")).filter("reachable").select("a", "b"), "pairs")
+    first = stash(counted(pairs.withColumn("more", F.lit(False)), _texts(rows, pairs), words, pct), "counted")
+    links = first.filter("linked").select("a", "b")
     labels = components(links)
-    again = second_pairs(first.filter("gram IS NOT NULL"), labels, pct)
-    second = counted(stash(again.withColumn("more", F.lit(False)), "second-pairs"), texts, words, pct)
+
+    # others of one column are compared with each other only where rows of different groups have sizes that may fit
+    step = F.floor(F.log(F.col("size").cast("double")) / F.lit(1.0001 * math.log(100 / pct)))
+    named = led.join(labels, F.col("b") == F.col("node"), "left").select("key", "a", "b", F.coalesce("label", "b").alias("comp"), F.explode(F.array(step, step + 1)).alias("sizes"))
+    mixed = named.groupBy("key", "sizes").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).filter("c0 <> c1").select("key", "sizes")
+    unclear = stash(named.join(mixed, ["key", "sizes"], "left_semi").select("a", "b").distinct(), "unclear")
+    apart = stash(counted(unclear.withColumn("more", F.lit(True)), _texts(rows, unclear), words, pct).filter("gram IS NOT NULL"), "apart")
+    again = stash(second_pairs(apart, labels, pct), "second-pairs")
+    second = counted(again.withColumn("more", F.lit(False)), _texts(rows, again), words, pct)
     links = links.unionByName(second.filter("linked").select("a", "b"))
     labels = components(stash(links, "all-links"))
     return member.join(labels, F.col("rep") == F.col("node"), "left").select("id", "n_shingles", F.coalesce("label", "rep").alias("component"))
 
 
+def _reachable(pct: int):
+    """Whether two sets that share the columns at pos_a and pos can meet the bound: what comes before those places and
+    what comes after them limits their overlap, and so do their sizes."""
+    most = F.least("pos_a", "pos") + 1 + F.least(F.col("size_a") - F.col("pos_a"), F.col("size") - F.col("pos")) - 1
+    return (100 * F.least("size_a", "size") >= pct * F.greatest("size_a", "size")) & ((100 + pct) * most >= pct * (F.col("size_a") + F.col("size")))
+
+
+def _texts(rows: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(id, text) of the rows that the written `pairs` (a, b) name."""
+    ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
+    return stash(rows.join(_sized(stash(ids, "candidates")), "id", "left_semi").dropDuplicates(["id"]), "candidate-texts")
+
+
 def _set_groups(rows: DataFrame, words: int, pct: int) -> DataFrame:
     """(id, s1, s2, n_shingles, label) of rows (id, text) of any ids: rows of the matrix are distinct sets, numbered
     apart from the ids, so every text of an id is joined. Sets without shingles have no label."""
@@ -340,6 +382,7 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     Rows of equal id are one document, each with its own n_shingles; its texts link together. A null id tells nothing:
     such rows link by their texts only. A component is named by its smallest id, null if it has none. Empty input gives no rows.
     """
+    whole_ids(docs, id_col)
     small_batches(docs.sparkSession)
     rows = _rows(docs, id_col, text_col)
     if _repeated(rows):
@@ -358,6 +401,7 @@ def without_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     Here rows link by their texts only, so rows of equal or null id stay unless their texts are copies. Texts without
     shingles stay, one of each id; all of those of null id.
     """
+    whole_ids(docs, id_col)
     small_batches(docs.sparkSession)
     rows = _rows(docs, id_col, text_col)
     if not _repeated(rows):

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .bpe import byte_letters, default_path
-from .common import new_path, small_batches
+from .common import new_path, small_batches, tidy, whole_ids
 
 BLOCK = 1024
 #: Share of a block's values that its packed width holds; the others are exceptions.
@@ -263,16 +263,19 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-def write_tokens(docs: DataFrame, out_path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0, path: str | None = None) -> None:
+def write_tokens(docs: DataFrame, out_path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0, path: str | None = None, at_once: int = AT_ONCE) -> None:
     """Encode every text, end each with `end_id`, and write chunks in ascending id order (nulls first) to `out_path`.
 
     Spark's Parquet writer holds the chunk images, one a row with its place (part, seq): a lost task is written again
     as a whole, to any store Spark can write to. Null texts are empty, so they have the end id alone. Rows of equal id
-    are ordered by text. Empty input writes no chunks.
+    are ordered by text. Empty input writes no chunks. Ids must be whole numbers; other columns are ignored, whatever
+    their names. A worker holds about `at_once` characters of text at a time, and its pieces.
     """
+    whole_ids(docs, id_col)
     path = path or default_path()
     small_batches(docs.sparkSession)
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, part, seq = encoder(path), TaskContext.get().partitionId(), 0
         names: list = []
@@ -284,7 +287,7 @@ def write_tokens(docs: DataFrame, out_path: str, id_col: str = "doc_id", text_co
                 {"part": pa.array([part], pa.int32()), "seq": pa.array([seq], pa.int32()), "n_ids": pa.array([n], pa.int64()), "n_docs": pa.array([len(names)], pa.int32()), "image": pa.array([chunk_image(names, ids)], pa.binary())}
             )
 
-        for doc_ids, texts in together(batches):
+        for doc_ids, texts in together(batches, at_once):
             for doc_id, tokens in zip(doc_ids, encode(texts), strict=True):
                 names.append(doc_id)
                 ids.append(np.append(tokens, np.uint32(end_id)))
@@ -309,6 +312,7 @@ def read_tokens(spark: SparkSession, in_path: str) -> DataFrame:
     order = Window.partitionBy("part").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
     heads = heads.select("part", "seq", (F.col("part_start") + F.coalesce(F.sum("n_ids").over(order), F.lit(0))).alias("chunk_start"))
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, seq, image in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):

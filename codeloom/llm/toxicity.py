@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import small_batches, tidy
 
 #: Every ASCII character that is no letter or digit parts words.
 PARTS = {c: " " for c in range(128) if not chr(c).isalnum()}
@@ -172,6 +172,7 @@ def score_documents(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id
     kind = docs.schema[id_col].dataType.simpleString()
     shared = docs.sparkSession.sparkContext.broadcast((model.weights, model.bias))
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights, bias = shared.value
         memo: dict[str, tuple[str, ...]] = {}
