@@ -35,7 +35,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix as token ids in chunks, read back: a row for each document and repeat (operator 5)."""
     out = new_path(spark, "corpus-ids")
-    write_tokens(docs, out)
+    write_tokens(docs, out, at_once=2 << 20)
     return read_tokens(spark, out)
 
 
