@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import ctypes
 import functools
 import gc
@@ -37,9 +38,44 @@ def new_path(spark: SparkSession, label: str) -> str:
 def stash(df: DataFrame, label: str) -> DataFrame:
     """Write `df` as Parquet in the shared folder and read it back: cuts lineage and outlives executors."""
     spark = df.sparkSession
-    path = new_path(spark, label)
+    path = passing(new_path(spark, label))
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stash_path = path
+    return out
+
+
+#: Folders of tables that only serve results not yet written.
+_PASSING: list[str] = []
+
+
+def passing(path: str) -> str:
+    _PASSING.append(path)
+    return path
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete stashed tables that nothing will read again."""
+    for df in tables:
+        _delete(df.sparkSession, df.stash_path)
+        _PASSING.remove(df.stash_path)
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession):
+    """Tables stashed within are deleted at the end, when what is made of them has been written."""
+    first = len(_PASSING)
+    try:
+        yield
+    finally:
+        for path in _PASSING[first:]:
+            _delete(spark, path)
+        del _PASSING[first:]
 
 
 def ascii_lower(text: Column) -> Column:

@@ -141,18 +141,19 @@ class Automaton:
         return marks, found
 
 
-def benchmark_blocks(benchmark: DataFrame, id_col: str, text_col: str, block_words: int) -> list[list[tuple[str, list[bytes]]]]:
-    """The items, in blocks of at most about `block_words` words, read one after another by the driver."""
+def benchmark_blocks(benchmark: DataFrame, id_col: str, text_col: str, block_words: int) -> Iterator[list[tuple[str, list[bytes]]]]:
+    """The items, in blocks of at most about `block_words` words; the driver holds one block at a time."""
     rows = benchmark.select(F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("i"), F.col(text_col).alias("t"))
-    blocks, n = [[]], 0
+    block, n = [], 0
     for r in rows.toLocalIterator():
         words = words_of(r["t"])
-        if n and n + len(words) > block_words:
-            blocks.append([])
-            n = 0
-        blocks[-1].append((r["i"], words))
+        if block and n + len(words) > block_words:
+            yield block
+            block, n = [], 0
+        block.append((r["i"], words))
         n += len(words)
-    return blocks
+    if block:
+        yield block
 
 
 def unpacked(bits: bytes, n: int) -> np.ndarray:
@@ -165,8 +166,9 @@ def match_benchmark(docs: DataFrame, benchmark: DataFrame, text_col: str = "text
 
     A window is `window` consecutive words of an item, or all words of a shorter one. Null or empty texts have no
     words; items without words match nothing; a null item id reads as an empty string. Rows are independent, so
-    repeated rows get equal results. Texts are streamed once a block of items; an automaton holds a block, whose size
-    is bounded, so the benchmark may be of any size. Empty input gives no rows.
+    repeated rows get equal results. Texts are streamed once a block of items; the driver and an automaton hold one
+    block, whose size is bounded, so the benchmark may be of any size; with several blocks, what is found so far is
+    written between them. Empty input gives no rows; without items nothing is hit. The columns of `docs` may have any names.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -174,9 +176,10 @@ def match_benchmark(docs: DataFrame, benchmark: DataFrame, text_col: str = "text
     out = docs.select(
         F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.lit(0).cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_hit"), F.lit(None).cast("binary").alias("marks"), F.array().cast("array<string>").alias("items"), F.lit(None).cast("binary").alias("whole")
     )
-    blocks = benchmark_blocks(benchmark, item_id, item_text, block_words)
     at = names.index(text_col)
-    for k, block in enumerate(blocks):
+    for k, block in enumerate(benchmark_blocks(benchmark, item_id, item_text, block_words)):
+        if k:
+            out = stash(out, "benchmark-block")
         shared = spark.sparkContext.broadcast(block)
 
         @tidy
@@ -204,11 +207,23 @@ def match_benchmark(docs: DataFrame, benchmark: DataFrame, text_col: str = "text
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(sums, pa.int64()), pa.array(marks, pa.binary()), pa.array(items, pa.list_(pa.string())), pa.array(wholes, pa.binary())], ["row", "n_words", "n_hit", "marks", "items", "whole"])
 
         out = out.mapInArrow(run, out.schema)
-        if k + 1 < len(blocks):
-            out = stash(out, "benchmark-block")
+    if benchmark.isEmpty():
+        out = out.mapInArrow(counted_words(at), out.schema)
     return out
 
 
+def counted_words(at: int):
+    """Fills n_words of rows that no item was matched with."""
+
+    @tidy
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            counts = pa.array([len(words_of(t)) for t in batch.column(0).field(at).to_pylist()], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), counts, *batch.columns[2:]], batch.schema.names)
+
+    return run
+
+
 def runs_of(marks: np.ndarray) -> list[tuple[int, int]]:
     edges = np.flatnonzero(np.diff(np.r_[False, marks, False].astype(np.int8)))
     return list(zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True))
@@ -228,8 +243,11 @@ def cleaned(text: str, marks: np.ndarray, min_span: int, whole: np.ndarray | Non
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", window: int = 10, min_span: int = 10, max_coverage: float = 0.5, **options) -> DataFrame:
-    """`docs` without benchmark passages: complete items, however short, and runs of at least `min_span` hit words are
-    cut out of the text; documents of which more than `max_coverage` is hit go as a whole. Texts without hits stay as they are, null ones too."""
+    """
+    `docs` without benchmark passages: complete items, however short, and runs of at least `min_span` hit words are
+    cut out of the text; documents of which more than `max_coverage` is hit go as a whole. Texts without hits stay as they are, null and empty ones too. Rows are independent, so repeated ones
+    fare alike; empty input gives no rows; without items all rows stay. Other columns may have any names.
+    """
     matched = match_benchmark(docs, benchmark, text_col, window=window, **options)
     at = docs.columns.index(text_col)
     schema = docs.schema

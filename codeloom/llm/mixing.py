@@ -140,7 +140,11 @@ def mix_sources(docs: DataFrame, **options) -> DataFrame:
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """The mix itself: rows of `docs`, each as often as it is taken (documents without words: never)."""
+    """The mix itself: rows of `docs`, each as often as it is taken.
+
+    Documents without words, null and empty texts among them, are never taken; a null source is one of its own. Repeated
+    rows count each and fare alike. Empty input gives no rows. Columns keep their names, whatever they are.
+    """
     id_col, text_col, source_col = (options.get(k, v) for k, v in (("id_col", "doc_id"), ("text_col", "text"), ("source_col", "source")))
     sizes, limits = mix_plan(docs, **options)
     buckets, seed = options.get("buckets", 16384), options.get("seed", 20240229)

@@ -1,7 +1,8 @@
 """N-gram Jaccard join by a blocked product of the document by n-gram incidence matrix.
 
 Rows of the matrix are documents with distinct sets of n-grams, columns are n-grams (64-bit hashes). Columns have one
-order for all rows: by how often the slots that they hash to are filled in the whole corpus, then by hash. Of two rows
+order for all rows: those that rounds of counting found in several prefixes last, the others by how often the slots
+that they hash to are filled in the whole corpus, then by hash. Of two rows
 that meet the Jaccard bound, the prefixes of n - ceil(pct * n / 100) + 1 columns share one. So the product is formed
 column by column over the prefixes only, where common passages come last, and products of rows that cannot reach the
 bound by their sizes and the places of a shared column are discarded; overlaps of the others are counted in full.
@@ -26,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, stash, tidy, whole_ids
+from .common import discard, small_batches, stash, tidy, whole_ids
 
 #: Stands for a null id; sorts after all others.
 NO_ID = (1 << 63) - 1
@@ -39,6 +40,8 @@ ODD = 0x9E3779B97F4A7C15
 U = np.uint64
 #: Columns hash to so many slots, whose counts are made in chunks; so many partial counts are added up at a time.
 SLOT_BITS, CHUNK_BITS, ADDED = 20, 14, 256
+#: Columns known to be shared are marked in a map of so many bits, made in chunks; in so many rounds.
+MARK_BITS, MARKED_BITS, ROUNDS = 26, 16, 2
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -103,11 +106,16 @@ def slots(grams: np.ndarray) -> np.ndarray:
     return (grams >> U(64 - SLOT_BITS)).astype(np.int64)
 
 
-def prefix_keys(grams: np.ndarray, pct: int, levels: np.ndarray) -> np.ndarray:
-    """The columns of a set that come first in the order of all columns, as many as its size and the bound ask for."""
+def prefix_keys(grams: np.ndarray, pct: int, levels: np.ndarray, marks: np.ndarray) -> np.ndarray:
+    """The columns of a set that come first in the order of all columns, as many as its size and the bound ask for:
+    unmarked columns before marked ones, of these those of rarely filled slots first."""
     n = len(grams)
-    order = np.argsort(levels[slots(grams)], kind="stable")
-    return grams[order[: n - -(-pct * n // 100) + 1]] if n else grams
+    if not n:
+        return grams
+    bit = (grams >> U(64 - MARK_BITS)).astype(np.int64)
+    marked = (marks[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1
+    order = np.argsort(levels[slots(grams)].astype(np.uint16) + marked.astype(np.uint16) * 256, kind="stable")
+    return grams[order[: n - -(-pct * n // 100) + 1]]
 
 
 def set_sums(grams: np.ndarray) -> tuple[int, int]:
@@ -178,18 +186,18 @@ def marked_rows(rows: DataFrame, n: int) -> DataFrame:
     return rows.mapInArrow(run, schema)
 
 
-def document_keys(rows: DataFrame, n: int, pct: int, levels: np.ndarray) -> DataFrame:
+def document_keys(rows: DataFrame, n: int, pct: int, levels: np.ndarray, marks: np.ndarray) -> DataFrame:
     """(key, id, pos, size): the prefix columns of rows (id, text), their places in the prefix, and the set's size."""
-    shared = rows.sparkSession.sparkContext.broadcast(levels.tobytes())
+    shared = rows.sparkSession.sparkContext.broadcast((levels.tobytes(), marks.tobytes()))
 
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        levels = np.frombuffer(shared.value, np.uint8)
+        levels, marks = (np.frombuffer(x, np.uint8) for x in shared.value)
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             for at, some in pieces(batch, 1):
                 sets = gram_sets(some, n)
-                keys = [prefix_keys(g, pct, levels).view(np.int64) for g in sets]
+                keys = [prefix_keys(g, pct, levels, marks).view(np.int64) for g in sets]
                 k = np.array([len(x) for x in keys])
                 spots = np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k)
                 sizes = np.repeat([len(g) for g in sets], k)
@@ -198,6 +206,31 @@ def document_keys(rows: DataFrame, n: int, pct: int, levels: np.ndarray) -> Data
     return rows.mapInArrow(run, "key long, id long, pos int, size int")
 
 
+def marked_columns(rows: DataFrame, n: int, pct: int, levels: np.ndarray) -> np.ndarray:
+    """A map of bits in which columns that are in several prefixes are marked, so that they come last in the order.
+
+    Each round counts the columns of the prefixes that the marks so far give. Marks change the order for all rows alike,
+    so any are right; the fewer prefixes share a column without being near copies, the less is compared. The map has a
+    fixed size: it tells less in a corpus with many more shared columns than bits.
+    """
+    chunk = F.shiftright("bit", MARKED_BITS)
+
+    def pack(table: pa.Table) -> pa.Table:
+        bits = table.column("bit").to_numpy()
+        image = np.zeros(1 << MARKED_BITS, dtype=np.uint8)
+        image[bits & ((1 << MARKED_BITS) - 1)] = 1
+        return pa.table({"chunk": pa.array([int(bits[0]) >> MARKED_BITS], pa.int32()), "image": pa.array([np.packbits(image, bitorder="little").tobytes()], pa.binary())})
+
+    marks = np.zeros(1 << MARK_BITS - 3, dtype=np.uint8)
+    size = 1 << MARKED_BITS - 3
+    for _ in range(ROUNDS):
+        often = document_keys(rows, n, pct, levels, marks).groupBy("key").count().filter("count > 1")
+        bits = often.select(F.shiftrightunsigned("key", 64 - MARK_BITS).cast("int").alias("bit")).distinct()
+        for r in bits.groupBy(chunk.alias("c")).applyInArrow(pack, "chunk int, image binary").collect():
+            marks[r["chunk"] * size : (r["chunk"] + 1) * size] |= np.frombuffer(r["image"], np.uint8)
+    return marks
+
+
 def slack(x: int, y: int, pct: int) -> int:
     """The most n-grams in which sets of these sizes may differ and still meet the bound."""
     return (x + y) * (100 - pct) // (100 + pct)
@@ -275,7 +308,6 @@ def second_pairs(prefixes: DataFrame, labels: DataFrame, pct: int) -> DataFrame:
     """
     rows = prefixes.select(F.col("a").alias("lead"), "gram", F.col("b").alias("id"), "size", "off", "pos", "near")
     rows = rows.join(labels, F.col("id") == F.col("node"), "left").select("lead", "gram", "id", "size", "off", "pos", "near", F.coalesce("label", "id").alias("comp"))
-    rows = stash(rows, "differences")
     mixed = rows.groupBy("lead", "gram").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.max("near").alias("any_near")).filter("c0 <> c1 AND any_near").select("lead", "gram")
     rows = stash(rows.join(mixed, ["lead", "gram"]), "mixed")
     x = rows.filter("near").select("lead", "gram", *[F.col(c).alias(f"x_{c}") for c in ("id", "size", "off", "pos", "comp")])
@@ -311,20 +343,25 @@ def _groups(rows: DataFrame, words: int, pct: int) -> DataFrame:
     sets = marked.filter("chunk IS NULL").select("id", *SET)
     reps = sets.filter("n_shingles > 0").groupBy(*SET).agg(F.min("id").alias("rep"))
     member = stash(sets.join(reps, SET, "left").select("id", "n_shingles", F.coalesce("rep", "id").alias("rep")), "members")
+    discard(marked)
     copies = stash(member.filter("id <> rep").select("id").distinct(), "copies")
     alone = rows.join(_sized(copies), "id", "left_anti")
 
-    keys = stash(document_keys(alone, words, pct, levels), "columns")
+    keys = stash(document_keys(alone, words, pct, levels, marked_columns(alone, words, pct, levels)), "columns")
     often = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     shared = stash(keys.join(often, "key"), "shared-columns")
+    discard(keys)
     weight = shared.groupBy("id").agg(F.sum("n").alias("weight"))
     ranked = shared.join(weight, "id").select("key", F.struct("weight", (-F.col("id")).alias("id"), "pos", "size").alias("at"))
     leads = ranked.groupBy("key").agg(F.max("at").alias("lead"))
     leads = leads.select("key", (-F.col("lead.id")).alias("a"), F.col("lead.pos").alias("pos_a"), F.col("lead.size").alias("size_a"))
     led = shared.join(leads, "key").filter("id <> a").select("key", "a", F.col("id").alias("b"), "size", _reachable(pct).alias("reachable"))
     led = stash(led, "led")
+    discard(shared)
     pairs = stash(led.groupBy("a", "b").agg(F.min("reachable").alias("reachable")).filter("reachable").select("a", "b"), "pairs")
-    first = stash(counted(pairs.withColumn("more", F.lit(False)), _texts(rows, pairs), words, pct), "counted")
+    texts = _texts(rows, pairs)
+    first = stash(counted(pairs.withColumn("more", F.lit(False)), texts, words, pct), "counted")
+    discard(texts)
     links = first.filter("linked").select("a", "b")
     labels = components(links)
 
@@ -333,7 +370,9 @@ def _groups(rows: DataFrame, words: int, pct: int) -> DataFrame:
     named = led.join(labels, F.col("b") == F.col("node"), "left").select("key", "a", "b", F.coalesce("label", "b").alias("comp"), F.explode(F.array(step, step + 1)).alias("sizes"))
     mixed = named.groupBy("key", "sizes").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).filter("c0 <> c1").select("key", "sizes")
     unclear = stash(named.join(mixed, ["key", "sizes"], "left_semi").select("a", "b").distinct(), "unclear")
-    apart = stash(counted(unclear.withColumn("more", F.lit(True)), _texts(rows, unclear), words, pct).filter("gram IS NOT NULL"), "apart")
+    texts = _texts(rows, unclear)
+    apart = stash(counted(unclear.withColumn("more", F.lit(True)), texts, words, pct).filter("gram IS NOT NULL"), "apart")
+    discard(led, texts)
     again = stash(second_pairs(apart, labels, pct), "second-pairs")
     second = counted(again.withColumn("more", F.lit(False)), _texts(rows, again), words, pct)
     links = links.unionByName(second.filter("linked").select("a", "b"))
@@ -380,7 +419,8 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     No link is missed, whatever the sizes of groups: see the module's text. Null or empty texts have no shingles and link with nothing.
     Rows of equal id are one document, each with its own n_shingles; its texts link together. A null id tells nothing:
-    such rows link by their texts only. A component is named by its smallest id, null if it has none. Empty input gives no rows.
+    such rows link by their texts only. A component is named by its smallest id, null if it has none. Ids must be whole
+    numbers. Empty input gives no rows; other columns are ignored, whatever their names.
     """
     whole_ids(docs, id_col)
     small_batches(docs.sparkSession)
@@ -399,14 +439,16 @@ def without_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """One document of each group of texts linked as in `jaccard_groups`, that of the smallest id (null ids last).
 
     Here rows link by their texts only, so rows of equal or null id stay unless their texts are copies. Texts without
-    shingles stay, one of each id; all of those of null id.
+    shingles stay, one of each id; all of those of null id. Ids must be whole numbers. Empty input gives no rows; other
+    columns may have any names.
     """
     whole_ids(docs, id_col)
     small_batches(docs.sparkSession)
     rows = _rows(docs, id_col, text_col)
     if not _repeated(rows):
-        gone = stash(_groups(rows, words, pct).filter("id <> component").select(F.col("id").alias("x_id")), "gone")
-        return docs.join(_sized(gone), F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)) == F.col("x_id"), "left_anti")
+        gone = stash(_groups(rows, words, pct).filter("id <> component").select(F.col("id").alias("gone_id")), "gone")
+        keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"))
+        return keyed.join(_sized(gone), F.col("id") == F.col("gone_id"), "left_anti").select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
     members = _set_groups(rows, words, pct).filter("label IS NOT NULL")
     first = stash(members.groupBy("label").agg(F.min(F.struct("id", *SET)).alias("top")).select("top.*"), "first-of-groups")
     keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.col(text_col).alias("text"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -73,19 +75,23 @@ def _rules() -> list[Column]:
     ]
 
 
-def _share() -> Column:
-    """Share of the rules that a document fails."""
-    return sum(r.cast("int") for r in _rules()) / F.lit(len(_rules()))
+def _any() -> Column:
+    """1 if a document fails any rule, else 0."""
+    return F.greatest(*[F.coalesce(r, F.lit(True)).cast("int") for r in _rules()])
 
 
-def _any() -> Column:
-    return F.greatest(*[r.cast("int") for r in _rules()]).cast("double")
+#: A host fails when its rate is this many standard deviations of the prior above the prior's mean; but never at rates up to
+#: the first bound, and always above the second.
+DEVIATIONS, LEAST_RATE, MOST_RATE = 4.0, 0.25, 0.5
+#: Hosts that fail are broadcast up to this many.
+BROADCAST_HOSTS = 100_000
 
 
-def host_verdicts(counts: DataFrame, host: str = "host", max_rate: float = 0.5) -> DataFrame:
-    """(v_host, rate, host_ok): failure rates of hosts, shrunk by a beta prior fitted to all hosts by moments.
+def host_verdicts(counts: DataFrame, host: str = "host") -> DataFrame:
+    """(v_host, failed, n, rate, host_ok): failure rates of hosts, shrunk by a beta prior fitted to all hosts by moments.
 
-    Only per-host sums are shuffled. The prior is a single row of sums, read by the driver.
+    counts: (host, failed), a row a document, failed being 0 or 1. Only per-host sums are shuffled. The prior is a single
+    row of sums, read by the driver; the bound follows from it.
     """
     per = counts.groupBy(F.col(host).alias("v_host")).agg(F.sum("failed").alias("failed"), F.count(F.lit(1)).alias("n"))
     per = stash(per, "hosts")
@@ -94,32 +100,36 @@ def host_verdicts(counts: DataFrame, host: str = "host", max_rate: float = 0.5)
     mean = min(max(m["mean"] or 0.0, 1e-6), 1 - 1e-6)
     spread = max((m["var"] or 0.0) - mean * (1 - mean) * (m["noise"] or 0.0), 1e-9)
     strength = min(max(mean * (1 - mean) / spread - 1, 1.0), 1e4)
+    bound = min(max(mean + DEVIATIONS * math.sqrt(mean * (1 - mean) / (strength + 1)), LEAST_RATE), MOST_RATE)
     rate = (F.col("failed") + mean * strength) / (F.col("n") + strength)
-    return per.select("v_host", rate.alias("rate"), (rate <= max_rate).alias("host_ok"))
+    return per.select("v_host", "failed", "n", rate.alias("rate"), (rate <= bound).alias("host_ok"))
 
 
-def quality_rules(docs: DataFrame, host_col: str = "source", text_col: str = "text", max_rate: float = 0.5, keep_rows: bool = False, every_rule: bool = True) -> DataFrame:
-    """Counts and verdict of every row of `docs`: kept is false if any rule fails or its host's rate is too high.
+def quality_rules(docs: DataFrame, host_col: str = "source", text_col: str = "text", id_col: str = "doc_id", keep_rows: bool = False, every_rule: bool = False) -> DataFrame:
+    """Counts and verdict of every row of `docs`: kept is false if the base rules fail it or its host fails.
 
-    A host's rate is the share of its documents that fail any rule. Without every_rule, as in the SQL below, only the
-    base rules reject a document, and a host's rate is the mean share of the rules that its documents fail.
+    A host's rate is the share of its documents that fail any rule: the base rules, the bounds on symbols, on repeated
+    lines, and on word lengths. With every_rule, each rule rejects its documents too, not only through their host.
 
-    A host with null is a host of its own. Null and empty texts have no words and fail. Repeated rows count each;
-    empty input gives no rows. With keep_rows, the columns are those of `docs` in a struct `row`, plus `kept`; the
-    counts are then made twice (for the hosts, for the rows) rather than carrying texts through a shuffle.
+    A host with null is a host of its own. Null and empty texts have no words and fail. Rows are judged one by one, so
+    repeated rows count each; empty input gives no rows; other columns change nothing, whatever their names. With
+    keep_rows, the columns are those of `docs` in a struct `row`, plus `kept`; the counts are then made twice (for the
+    hosts, for the rows) rather than carrying texts through a shuffle. Hosts that fail are broadcast while they are few.
     """
-    counted = rule_counts(docs, text_col).withColumn("failed", _any() if every_rule else _share()).withColumn("host", F.col("row").getField(host_col))
+    counted = rule_counts(docs, text_col).withColumn("failed", _any()).withColumn("host", F.col("row").getField(host_col))
     if not keep_rows:
-        counted = stash(counted.select("*", F.col("row").getField("doc_id").alias("doc_id")).drop("row"), "rules")
-    verdicts = host_verdicts(counted, max_rate=max_rate)
-    out = counted.join(verdicts, F.col("host").eqNullSafe(F.col("v_host")), "left")
+        counted = stash(counted.select("*", F.col("row").getField(id_col).alias("doc_id")).drop("row"), "rules")
+    bad = stash(host_verdicts(counted).filter("NOT host_ok").select("v_host", F.lit(True).alias("host_failed")), "failed-hosts")
+    few = bad.count() <= BROADCAST_HOSTS
+    out = counted.join(F.broadcast(bad) if few else bad, F.col("host").eqNullSafe(F.col("v_host")), "left")
     rejected = F.col("failed") > 0 if every_rule else F.col("base_failed")
-    return out.withColumn("kept", ~rejected & F.coalesce(F.col("host_ok"), F.lit(True)))
+    return out.withColumn("kept", ~rejected & F.col("host_failed").isNull())
 
 
 def kept_documents(docs: DataFrame, **options) -> DataFrame:
-    """The rows of `docs` that pass, with their columns."""
-    judged = quality_rules(docs, keep_rows=True, **options)
+    """The rows of `docs` that pass every rule and whose host passes, with their columns. Nulls, empty texts, repeated rows,
+    empty input and clashing names are as in `quality_rules`."""
+    judged = quality_rules(docs, keep_rows=True, every_rule=True, **options)
     return judged.filter("kept").select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
@@ -142,19 +152,19 @@ c AS (
 f AS (
   SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM c),
 r AS (
-  SELECT *, (CAST(base_failed AS INT) + CAST(100 * n_symbols > 50 * n_words AS INT) + CAST(100 * n_dup_lines > 50 * n_lines AS INT)
-            + CAST(NOT word_chars BETWEEN 2 * n_words AND 15 * n_words AS INT)) / 4.0 AS failed FROM f),
+  SELECT *, CAST(base_failed OR 100 * n_symbols > 50 * n_words OR 100 * n_dup_lines > 50 * n_lines OR NOT word_chars BETWEEN 2 * n_words AND 15 * n_words AS INT) AS failed FROM f),
 h AS (SELECT source, CAST(sum(failed) AS DOUBLE) AS failed, count(*) AS n FROM r GROUP BY source),
 m AS (SELECT least(greatest(avg(failed / n), 1e-6), 1 - 1e-6) AS mean, coalesce(var_samp(failed / n), 0) AS var, avg(1.0 / n) AS noise FROM h),
-p AS (SELECT mean, least(greatest(mean * (1 - mean) / greatest(var - mean * (1 - mean) * noise, 1e-9) - 1, 1.0), 1e4) AS strength FROM m)
+p AS (SELECT mean, least(greatest(mean * (1 - mean) / greatest(var - mean * (1 - mean) * noise, 1e-9) - 1, 1.0), 1e4) AS strength FROM m),
+b AS (SELECT mean, strength, least(greatest(mean + 4.0 * sqrt(mean * (1 - mean) / (strength + 1)), 0.25), 0.5) AS bound FROM p)
 SELECT r.doc_id, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed,
-       NOT r.base_failed AND (h.failed + p.mean * p.strength) / (h.n + p.strength) <= 0.5 AS kept
-FROM r JOIN h ON r.source IS NOT DISTINCT FROM h.source, p
+       NOT r.base_failed AND (h.failed + b.mean * b.strength) / (h.n + b.strength) <= b.bound AS kept
+FROM r JOIN h ON r.source IS NOT DISTINCT FROM h.source, b
 """
 
 
 def op9_quality(spark, sf_dir):
     from .common import table
 
-    out = quality_rules(table(spark, sf_dir, "documents"), every_rule=False)
+    out = quality_rules(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")

@@ -303,7 +303,8 @@ def write_tokens(docs: DataFrame, out_path: str, id_col: str = "doc_id", text_co
 
 
 def read_tokens(spark: SparkSession, in_path: str) -> DataFrame:
-    """(doc_id, start, n_tokens, ids_crc32) of the documents in the chunks at `in_path`, decoded."""
+    """(doc_id, start, n_tokens, ids_crc32) of the documents in the chunks at `in_path`, decoded. Null ids are read back as nulls, and no chunks give no rows.
+    """
     chunks = spark.read.schema(CHUNKS).parquet(in_path)
     small_batches(spark)
     parts = chunks.groupBy("part").agg(F.sum("n_ids").alias("ids"))
