@@ -1,8 +1,8 @@
-"""Text functions: identifier tokens, BM25 over an inverted index, URL and route normalisation."""
+"""Text functions: identifier tokens, URL and route normalisation."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
@@ -12,41 +12,36 @@ def identifier_tokens(text: Column) -> Column:
     return F.array_distinct(F.filter(F.split(F.lower(apart), r"[\s._\-/:]+"), lambda x: x != ""))
 
 
-def postings(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """(term, doc_id, tf, length): the inverted index of lower-cased runs of letters and digits."""
-    words = F.regexp_extract_all(F.lower(F.col(text)), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
-    rows = docs.select(F.col(doc_id).alias("doc_id"), words.alias("w")).withColumn("length", F.size("w"))
-    return rows.select("doc_id", "length", F.explode("w").alias("term")).groupBy("term", "doc_id", "length").agg(F.count(F.lit(1)).alias("tf"))
+#: An HTTP scheme with its host; and a host with a path but no scheme.
+SCHEME, BARE = r"(?is)^https?://([^/?#]+)(.*)$", r"(?s)^([a-zA-Z0-9._-]+)(/[a-zA-Z0-9_./%-].*)$"
 
 
-def bm25(docs: DataFrame, terms: list[str], doc_id: str = "doc_id", text: str = "text", k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """(doc_id, score) of the documents that hold any of `terms`.
-
-    Term frequencies of the query's terms are counted within rows, so only document frequencies and the mean length are
-    aggregated over the corpus, into one row of counts.
-    """
-    words = F.regexp_extract_all(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
-    rows = docs.select(F.col(doc_id).alias("doc_id"), words.alias("w"))
-    tf = [(F.size("w") - F.size(F.array_remove("w", t))).alias(f"tf{i}") for i, t in enumerate(terms)]
-    rows = rows.select("doc_id", F.size("w").alias("length"), *tf)
-    stats = rows.agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("mean"), *[F.count(F.when(F.col(f"tf{i}") > 0, 1)).alias(f"df{i}") for i in range(len(terms))]).first()
-    score = F.lit(0.0)
-    for i in range(len(terms)):
-        tf_i = F.col(f"tf{i}")
-        idf = F.log(F.lit(1 + (stats["n"] - stats[f"df{i}"] + 0.5) / (stats[f"df{i}"] + 0.5)))
-        score = score + idf * tf_i * (k1 + 1) / (tf_i + k1 * (1 - b + b * F.col("length") / (stats["mean"] or 1.0)))
-    return rows.filter(" OR ".join(f"tf{i} > 0" for i in range(len(terms)))).select("doc_id", score.alias("score"))
+def _target(url: Column) -> tuple[Column, Column]:
+    """(host, rest) of a trimmed target: of an HTTP address, of a bare `host/path`, or none and the target."""
+    text = F.trim(url)
+    web, bare = text.rlike(SCHEME), text.rlike(BARE)
+    host = F.when(web, F.regexp_extract(text, SCHEME, 1)).when(bare, F.regexp_extract(text, BARE, 1))
+    rest = F.when(web, F.regexp_extract(text, SCHEME, 2)).when(bare, F.regexp_extract(text, BARE, 2)).otherwise(text)
+    return host, F.when(web & (rest == ""), "/").otherwise(rest)
 
 
 def target_path(url: Column) -> Column:
-    """The path of an HTTP target: scheme and host off, query and fragment off, one trailing slash off (not of `/`)."""
-    bare = F.regexp_replace(F.regexp_replace(F.trim(url), r"^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*", ""), r"[?#].*$", "")
-    path = F.when(bare == "", "/").otherwise(bare)
-    return F.when(F.length(path) > 1, F.regexp_replace(path, "/$", "")).otherwise(path)
+    """The path of an HTTP target: scheme, host, query and fragment off, one trailing slash off (not of `/`); null for
+    what does not begin with a slash then."""
+    path = F.regexp_replace(_target(url)[1], r"(?s)[?#].*$", "")
+    path = F.when((F.length(path) > 1) & path.endswith("/"), F.regexp_replace(path, r"/\z", "")).otherwise(path)
+    return F.when(path.startswith("/"), path)
 
 
 def target_host(url: Column) -> Column:
-    return F.lower(F.regexp_extract(F.trim(url), r"^[A-Za-z][A-Za-z0-9+.\-]*://([^/?#]*)", 1))
+    """The host of an HTTP target as written; null where there is none."""
+    return _target(url)[0]
+
+
+def route_path(path: Column) -> Column:
+    """A route's path, trimmed, without one trailing slash (but `/` stays)."""
+    text = F.trim(path)
+    return F.when((F.length(text) > 1) & text.endswith("/"), F.regexp_replace(text, r"/\z", "")).otherwise(text)
 
 
 def is_parameter(segment: Column) -> Column:

@@ -17,38 +17,51 @@ def _checkpoint(df: DataFrame) -> DataFrame:
 def pagerank(nodes: DataFrame, edges: DataFrame, rounds: int = 20, damping: float = 0.85) -> DataFrame:
     """(id, rank) of `nodes` (id) over distinct `edges` (src, dst) between them; the mass of sinks is lost.
 
-    Out-degrees are joined to the edges once; each round is one join on src and one partial sum on dst. Lineage is cut
-    every few rounds.
+    Each source is a row with all its targets, so a round moves ranks once to them, explodes, and sums by target before
+    the shuffle. Lineage is cut every few rounds.
     """
     n = nodes.count()
+    base = (1 - damping) / max(n, 1)
     edges = edges.select("src", "dst").distinct()
     edges = edges.join(nodes.select(F.col("id").alias("src")), "src", "left_semi").join(nodes.select(F.col("id").alias("dst")), "dst", "left_semi")
+    # hubs are split into rows of at most some thousand targets
     degree = edges.groupBy("src").agg(F.count(F.lit(1)).alias("degree"))
-    edges = _checkpoint(edges.join(degree, "src"))
-    ranks = nodes.select("id", F.lit(1.0 / max(n, 1)).alias("rank"))
+    lists = edges.groupBy("src", F.pmod(F.xxhash64("dst"), F.lit(64)).alias("some")).agg(F.collect_list("dst").alias("targets"))
+    sources = _checkpoint(lists.join(degree, "src").select("src", "degree", "targets"))
+    # only sources and targets need their ranks in between; all nodes get theirs at the end
+    ranks = sources.select("src").distinct().select(F.col("src").alias("id"), F.lit(1.0 / max(n, 1)).alias("rank"))
+    ids = _checkpoint(ranks.select("id"))
     for k in range(rounds):
-        flow = edges.join(ranks, edges["src"] == ranks["id"]).groupBy("dst").agg(F.sum(F.col("rank") / F.col("degree")).alias("flow"))
-        ranks = nodes.select("id").join(flow, F.col("id") == F.col("dst"), "left").select("id", (F.lit((1 - damping) / max(n, 1)) + damping * F.coalesce("flow", F.lit(0.0))).alias("rank"))
+        sent = sources.join(ranks, sources["src"] == ranks["id"]).select(F.explode("targets").alias("dst"), (F.col("rank") / F.col("degree")).alias("part"))
+        flow = sent.groupBy("dst").agg(F.sum("part").alias("flow"))
+        if k == rounds - 1:
+            return nodes.select("id").join(flow, F.col("id") == F.col("dst"), "left").select("id", (F.lit(base) + damping * F.coalesce("flow", F.lit(0.0))).alias("rank"))
+        ranks = ids.join(flow, F.col("id") == F.col("dst"), "left").select("id", (F.lit(base) + damping * F.coalesce("flow", F.lit(0.0))).alias("rank"))
         if k % 5 == 4:
             ranks = _checkpoint(ranks)
-    return ranks
+    return nodes.select("id", F.lit(1.0 / max(n, 1)).alias("rank"))
 
 
-def reach(edges: DataFrame, starts: DataFrame, max_depth: int = 4, forward: bool = True) -> DataFrame:
+def reach(edges: DataFrame, starts: DataFrame, max_depth: int = 4, forward: bool = True, max_nodes: int | None = None) -> DataFrame:
     """(start, id, depth): nodes reachable from each of `starts` (start), the start excluded, with their least depth.
 
-    A loop over depths: the frontier is joined with the edges, and an anti-join drops what has been seen.
+    A loop over depths: the frontier is joined with the edges, and an anti-join drops what has been seen. Only frontiers
+    are written; what has been seen is their union. A level after which more than max_nodes are seen is the last.
     """
     a, b = ("src", "dst") if forward else ("dst", "src")
     step = edges.select(F.col(a).alias("at"), F.col(b).alias("to")).distinct()
-    seen = starts.select("start", F.col("start").alias("id"), F.lit(0).alias("depth"))
-    frontier = seen
+    frontier = seen = starts.select("start", F.col("start").alias("id"), F.lit(0).alias("depth"))
+    count = 0
     for depth in range(1, max_depth + 1):
         found = frontier.join(step, frontier["id"] == step["at"]).select("start", F.col("to").alias("id")).distinct()
         frontier = _checkpoint(found.join(seen, ["start", "id"], "left_anti").withColumn("depth", F.lit(depth)))
         if frontier.isEmpty():
             break
-        seen = _checkpoint(seen.unionByName(frontier))
+        seen = seen.unionByName(frontier)
+        if max_nodes is not None:
+            count += frontier.count()
+            if count > max_nodes:
+                break
     return seen.filter("depth > 0")
 
 

@@ -18,14 +18,20 @@ def coupling(history: DataFrame, min_support: int = 2, max_commit_symbols: int =
     Commits that touch more than `max_commit_symbols` symbols say nothing about coupling; this breadth bound also keeps
     the self-join on commits linear in the rows. Confidence is support over the target's effective commits.
     """
-    rows = history.select("symbol_id", "commit_sha", "committed_at").distinct()
-    breadth = rows.groupBy("commit_sha").agg(F.count_distinct("symbol_id").alias("breadth")).filter(F.col("breadth") <= max_commit_symbols)
+    from .graph import _checkpoint
+
+    rows = _checkpoint(history.select("symbol_id", "commit_sha", "committed_at").distinct())
+    narrow = rows.groupBy("commit_sha").agg(F.count_distinct("symbol_id").alias("breadth")).filter(F.col("breadth") <= max_commit_symbols).select("commit_sha")
     recent = rows if since is None else rows.filter(F.col("committed_at") >= since)
-    good = recent.join(breadth.select("commit_sha"), "commit_sha").select("symbol_id", "commit_sha").distinct()
-    effective = good.groupBy(F.col("symbol_id").alias("target")).agg(F.count(F.lit(1)).alias("effective"))
+    # a commit is one row with its symbols, so pairs are made within rows, each once
+    grouped = recent.join(narrow, "commit_sha").groupBy("commit_sha").agg(F.array_sort(F.collect_set("symbol_id")).alias("s"))
+    grouped = _checkpoint(grouped)
+    effective = grouped.select(F.explode("s").alias("target")).groupBy("target").agg(F.count(F.lit(1)).alias("effective"))
     commits = recent.groupBy(F.col("symbol_id").alias("partner")).agg(F.count(F.lit(1)).alias("partner_commits"))
-    pairs = good.withColumnRenamed("symbol_id", "target").join(good.withColumnRenamed("symbol_id", "partner"), "commit_sha").filter("target <> partner")
-    support = pairs.groupBy("target", "partner").agg(F.count(F.lit(1)).alias("support")).filter(F.col("support") >= min_support)
+    pairs = grouped.filter(F.size("s") > 1).select("s", F.posexplode("s").alias("i", "low")).select("low", F.explode(F.slice("s", F.col("i") + 2, F.size("s"))).alias("high"))
+    once = pairs.groupBy("low", "high").agg(F.count(F.lit(1)).alias("support")).filter(F.col("support") >= min_support)
+    ends = F.explode(F.array(F.struct(F.col("low").alias("target"), F.col("high").alias("partner")), F.struct(F.col("high").alias("target"), F.col("low").alias("partner"))))
+    support = once.select(ends.alias("e"), "support").select("e.target", "e.partner", "support")
     out = support.join(effective, "target").join(commits, "partner").select("target", "partner", "support", half_up(F.col("support") / F.col("effective")).alias("confidence"), "partner_commits")
     if limit is None:
         return out

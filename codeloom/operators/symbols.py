@@ -1,4 +1,4 @@
-"""Filters, lookups, callers and callees, edge resolution and spans over symbol and edge frames."""
+"""Callers and callees, edge resolution, spans, budgets and ranking over symbol and edge frames."""
 
 from __future__ import annotations
 
@@ -6,34 +6,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def lens(include_vendor: bool = False, include_generated: bool = False, include_tests: bool = False) -> Column:
-    """The default visibility filter; each flag takes one condition away."""
-    keep = F.lit(True)
-    if not include_vendor:
-        keep = keep & ~F.col("is_vendor")
-    if not include_generated:
-        keep = keep & ~F.col("is_generated")
-    if not include_tests:
-        keep = keep & (F.col("role") != "test")
-    return keep
-
-
-def find_symbols(symbols: DataFrame, needle: str, rank: str = "loc", limit: int | None = 50) -> DataFrame:
-    """Symbols whose name or qualified name holds `needle`, ASCII case ignored; best rank first."""
-    found = symbols.filter(F.col("name").ilike(f"%{needle}%") | F.col("qualified_name").ilike(f"%{needle}%"))
-    return found if limit is None else found.orderBy(F.desc(rank), "symbol_id").limit(limit)
-
-
-def definition(symbols: DataFrame, files: DataFrame, name: str, suffix: str | None = None, limit: int = 50) -> DataFrame:
-    """Definitions of a name or qualified name in either spelling, optionally in files whose path ends in `/suffix`."""
-    names = list(dict.fromkeys([name, name.replace("::", "."), name.replace(".", "::")]))
-    found = symbols.filter(F.col("name").isin(names) | F.col("qualified_name").isin(names)).join(files, "file_id")
-    if suffix:
-        low, end = F.lower("rel_path"), suffix.lower()
-        found = found.filter((low == end) | low.endswith(f"/{end}") | low.endswith(end))
-    return found.orderBy(F.desc("loc"), "symbol_id").limit(limit)
-
-
 def call_sites(edges: DataFrame, symbols: DataFrame, files: DataFrame) -> DataFrame:
     """A row a call site: the caller with its file, and the callee's id."""
     return edges.join(symbols, edges["src"] == symbols["symbol_id"]).join(files, "file_id").select("edge_id", F.col("src").alias("caller_id"), F.col("name").alias("caller"), "file_id", "rel_path", "role", F.col("dst").alias("callee_id"))
@@ -87,6 +59,39 @@ def within_budget(df: DataFrame, size: Column, order: list, budget: int, partiti
     return df.withColumn("_before", F.coalesce(F.sum(size).over(before), F.lit(0))).filter(F.col("_before") < budget).drop("_before")
 
 
+def count_calls(edges: DataFrame, symbols: DataFrame, files: DataFrame) -> DataFrame:
+    """(symbol_id, sites, callers, caller_files, test_sites, test_files): call sites of each called symbol, distinct callers
+    and their files, and those of test files."""
+    ends = edges.select(F.col("src").alias("caller_id"), F.col("dst").alias("symbol_id")).join(symbols.select(F.col("symbol_id").alias("caller_id"), "file_id"), "caller_id").join(files.select("file_id", "role"), "file_id")
+    in_tests = F.col("role") == "test"
+    return ends.groupBy("symbol_id").agg(F.count(F.lit(1)).alias("sites"), F.count_distinct("caller_id").alias("callers"), F.count_distinct("file_id").alias("caller_files"), F.count(F.when(in_tests, 1)).alias("test_sites"), F.count_distinct(F.when(in_tests, F.col("file_id"))).alias("test_files"))
+
+
+def first_test_calls(edges: DataFrame, symbols: DataFrame, files: DataFrame) -> DataFrame:
+    """(to_name, from_id, line): the earliest line on which each test symbol calls a name."""
+    tests = symbols.select(F.col("symbol_id").alias("from_id"), "file_id").join(files.filter("role = 'test'").select("file_id"), "file_id", "left_semi").select("from_id")
+    return edges.join(tests, "from_id", "left_semi").groupBy("to_name", "from_id").agg(F.min("line").alias("line"))
+
+
+def caller_bounds(edges: DataFrame, symbols: DataFrame) -> DataFrame:
+    """(symbol_id, resolved, by_name, definitions): call sites that are resolved to a symbol, and those that name it: the
+    least and the most callers that it can have; and how many symbols share the name."""
+    named = edges.groupBy(F.col("to_name").alias("name")).agg(F.count(F.lit(1)).alias("by_name"))
+    sure = edges.filter("to_id IS NOT NULL").groupBy(F.col("to_id").alias("symbol_id")).agg(F.count(F.lit(1)).alias("resolved"))
+    shared = symbols.groupBy("name").agg(F.count(F.lit(1)).alias("definitions"))
+    out = symbols.select("symbol_id", "name").join(sure, "symbol_id", "left").join(named, "name", "left").join(shared, "name")
+    return out.select("symbol_id", F.coalesce("resolved", F.lit(0)).alias("resolved"), F.greatest(F.coalesce("by_name", F.lit(0)), F.coalesce("resolved", F.lit(0))).alias("by_name"), "definitions")
+
+
+def drop_for_budget(files: DataFrame, symbols: DataFrame, size: Column, order: list, budget: int) -> tuple[DataFrame, DataFrame]:
+    """(files, symbols) that fit a budget together: file rows go first, from the end, then symbol rows; one symbol stays."""
+    running = lambda df: df.withColumn("_sum", F.sum(size).over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)))
+    kept = running(symbols).withColumn("_k", F.row_number().over(Window.orderBy(*order))).filter((F.col("_sum") <= budget) | (F.col("_k") == 1))
+    used = kept.agg(F.coalesce(F.max("_sum"), F.lit(0)).alias("_used"))
+    left = running(files).join(F.broadcast(used)).filter(F.col("_sum") + F.col("_used") <= budget)
+    return left.drop("_sum", "_used"), kept.drop("_sum", "_k")
+
+
 def rank_tests(edges: DataFrame, tests: DataFrame, limit: int = 30) -> DataFrame:
     """The `limit` best tests of each symbol that is no test itself: direct callers among `tests` (test_id) score 100,
     callers through one more symbol 40. (symbol_id, test_id, distance, score, rank), of equal ones the smallest id first."""

@@ -8,7 +8,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import graph, history, services, similarity
+from ..operators import graph, history, search, services, similarity
+from ..operators import lookups
 from ..operators import symbols as S
 from ..session import shared_dir
 from ..streaming.refresh import Snapshots, refresh
@@ -68,18 +69,18 @@ def q_owner_classes(spark, d):
 
 @query("SELECT symbol_id, name, loc FROM g_symbols WHERE name ILIKE '%re%' OR qualified_name ILIKE '%re%'")
 def q_find_symbols(spark, d):
-    return S.find_symbols(V.symbols(spark, d), "RE", limit=None).select("symbol_id", "name", "loc")
+    return lookups.find_symbols(V.symbols(spark, d), "RE", limit=None).select("symbol_id", "name", "loc")
 
 
 @query("SELECT symbol_id, name, loc FROM g_symbols JOIN g_files USING (file_id) WHERE NOT is_vendor AND NOT is_generated AND role <> 'test' ORDER BY loc DESC, symbol_id LIMIT 50")
 def q_top_symbols(spark, d):
-    s = V.symbols(spark, d).join(V.files(spark, d), "file_id").filter(S.lens())
+    s = V.symbols(spark, d).join(V.files(spark, d), "file_id").filter(lookups.lens(symbol_role=False))
     return s.select("symbol_id", "name", "loc").orderBy(F.desc("loc"), "symbol_id").limit(50)
 
 
 @query("SELECT symbol_id, name, role, is_vendor, is_generated FROM g_symbols JOIN g_files USING (file_id) WHERE NOT is_generated")
 def q_lens_all(spark, d):
-    return V.symbols(spark, d).join(V.files(spark, d), "file_id").filter(S.lens(True, False, True)).select("symbol_id", "name", "role", "is_vendor", "is_generated")
+    return V.symbols(spark, d).join(V.files(spark, d), "file_id").filter(lookups.lens(True, False, True, symbol_role=False)).select("symbol_id", "name", "role", "is_vendor", "is_generated")
 
 
 @query("SELECT symbol_id, loc, dense_rank() OVER (PARTITION BY kind ORDER BY loc DESC) AS rank FROM g_symbols WHERE loc >= 10")
@@ -297,7 +298,8 @@ t AS (SELECT doc_id, len(w) AS len, len(list_filter(w, lambda x: x = 'the')) AS
 s AS (SELECT count(*) AS n, avg(len) AS m, count(*) FILTER (WHERE a > 0) AS da, count(*) FILTER (WHERE b > 0) AS db FROM t)
 SELECT doc_id, round(ln(1 + (n - da + 0.5) / (da + 0.5)) * a * 2.2 / (a + 1.2 * (0.25 + 0.75 * len / m)) + ln(1 + (n - db + 0.5) / (db + 0.5)) * b * 2.2 / (b + 1.2 * (0.25 + 0.75 * len / m)), 6) AS score FROM t, s WHERE a > 0 OR b > 0""")
 def q_bm25_docs(spark, d):
-    return T.bm25(V.table(spark, d, "documents"), ["the", "idiot"]).select("doc_id", F.round("score", 6).alias("score"))
+    postings = search.index(V.table(spark, d, "documents"), "doc_id", {"text": F.col("text")})
+    return search.bm25(postings, ["the", "idiot"], prefixes=False).select(F.col("id").alias("doc_id"), F.round("score", 6).alias("score"))
 
 
 @query("SELECT call_id, method, path, host FROM g_calls")

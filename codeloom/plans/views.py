@@ -68,10 +68,14 @@ SQL = {
         FROM lineitem WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice)) WHERE dst IS NOT NULL AND src <> dst""",
     "g_history": """SELECT DISTINCT l_partkey AS symbol_id, l_orderkey AS commit_sha, o_orderdate AS committed_at, o_custkey AS author FROM lineitem JOIN orders ON l_orderkey = o_orderkey""",
     "g_churn": "SELECT user_id AS file_id, event_id AS commit_sha, ts AS committed_at, event_type AS author FROM events",
-    "g_calls": r"""SELECT call_id, method, CASE WHEN length(p) > 1 THEN regexp_replace(p, '/$', '') ELSE p END AS path, host FROM (
-        SELECT page_id AS call_id, CASE WHEN starts_with(url, 'https') THEN 'GET' ELSE 'POST' END AS method,
-        CASE WHEN regexp_replace(regexp_replace(trim(url), '^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*', ''), '[?#].*$', '') = '' THEN '/' ELSE regexp_replace(regexp_replace(trim(url), '^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*', ''), '[?#].*$', '') END AS p,
-        lower(regexp_extract(trim(url), '^[A-Za-z][A-Za-z0-9+.\-]*://([^/?#]*)', 1)) AS host FROM pages)""",
+    "g_calls": r"""SELECT call_id, method, CASE WHEN NOT starts_with(p, '/') THEN NULL WHEN length(p) > 1 AND ends_with(p, '/') THEN substr(p, 1, length(p) - 1) ELSE p END AS path, host FROM (
+        SELECT call_id, method, host, CASE WHEN strpos(q, '#') > 0 THEN substr(q, 1, strpos(q, '#') - 1) ELSE q END AS p FROM (
+        SELECT call_id, method, host, CASE WHEN strpos(r, '?') > 0 THEN substr(r, 1, strpos(r, '?') - 1) ELSE r END AS q FROM (
+        SELECT call_id, method, CASE WHEN web THEN split_part(u, '/', 3) WHEN slash > 1 AND NOT starts_with(u, '/') AND regexp_full_match(substr(u, 1, slash - 1), '[a-zA-Z0-9._-]+') THEN substr(u, 1, slash - 1) END AS host,
+          CASE WHEN web THEN CASE WHEN strpos(substr(u, strpos(u, '://') + 3), '/') > 0 THEN substr(substr(u, strpos(u, '://') + 3), strpos(substr(u, strpos(u, '://') + 3), '/')) ELSE '/' END
+            WHEN slash > 1 AND NOT starts_with(u, '/') AND regexp_full_match(substr(u, 1, slash - 1), '[a-zA-Z0-9._-]+') THEN substr(u, slash) ELSE u END AS r
+        FROM (SELECT page_id AS call_id, trim(url) AS u, strpos(trim(url), '/') AS slash, starts_with(lower(trim(url)), 'http://') OR starts_with(lower(trim(url)), 'https://') AS web,
+          CASE WHEN starts_with(url, 'https') THEN 'GET' ELSE 'POST' END AS method FROM pages))))""",
     "g_routes": """SELECT * FROM (VALUES (0, 'GET', '/en/:id'), (1, 'ANY', '/fr/:id'), (2, 'POST', '/de/:id'), (3, 'ANY', '/es/:id')) t(route_id, method, path)
         UNION ALL SELECT min(call_id) + 100, 'ANY', path FROM g_calls WHERE path LIKE '%.html' GROUP BY path""",
 }

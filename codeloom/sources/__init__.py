@@ -1,0 +1 @@
+"""Readers: source trees, manifests, protocol files, git history, symbol indexes and bundles."""
