@@ -155,12 +155,14 @@ def contract_key() -> Column:
     return by.when(p.isin("sqs", "rabbitmq") & dest.isNotNull(), key(p, dest))
 
 
+def _contract_columns(routes: DataFrame) -> DataFrame:
+    missing = [c for c in CONTRACT_FIELDS if c not in routes.columns]
+    return routes.select("*", *[F.lit(None).cast("string").alias(c) for c in missing])
+
+
 def contract_surface(routes: DataFrame) -> DataFrame:
     """(key, each of CONTRACT_FIELDS, route_id) of routes; of equal keys the last route counts."""
-    have = routes
-    for c in CONTRACT_FIELDS:
-        have = have if c in have.columns else have.withColumn(c, F.lit(None).cast("string"))
-    keyed = have.withColumn("key", contract_key()).filter("key IS NOT NULL")
+    keyed = _contract_columns(routes).withColumn("key", contract_key()).filter("key IS NOT NULL")
     last = keyed.groupBy("key").agg(F.max(F.struct("route_id", *CONTRACT_FIELDS)).alias("r"))
     return last.select("key", "r.*")
 
@@ -172,7 +174,7 @@ def contract_diff(old: DataFrame, new: DataFrame) -> DataFrame:
 
 def affected_callers(changes: DataFrame, old_routes: DataFrame, links: DataFrame) -> DataFrame:
     """(key, status, caller_id, link_id): who calls the removed and changed endpoints."""
-    ids = old_routes.withColumn("key", contract_key()).select("key", "route_id")
+    ids = _contract_columns(old_routes).withColumn("key", contract_key()).select("key", "route_id")
     return changes.filter("status <> 'added'").join(ids, "key").join(links.select("route_id", "caller_id", "link_id"), "route_id").select("key", "status", "caller_id", "link_id")
 
 

@@ -6,6 +6,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.fs as fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -120,19 +121,42 @@ def without_ignored(files: DataFrame, rules: DataFrame) -> DataFrame:
     return files.mapInArrow(run, schema)
 
 
+def listing(spark: SparkSession, root: str) -> DataFrame:
+    """(rel_path, length) of all files under a folder of any store. Spark's own readers pass over names that begin with a
+    point or an underscore, ignore files and package files among them, so names are listed here; contents are not read."""
+    store, base = fs.FileSystem.from_uri(root) if "://" in root else (fs.LocalFileSystem(), root)
+    base = base.rstrip("/")
+    found = store.get_file_info(fs.FileSelector(base, recursive=True))
+    rows = [(i.path[len(base) + 1 :], i.size) for i in found if i.type == fs.FileType.File]
+    return spark.createDataFrame(rows, "rel_path string, length long")
+
+
+def with_contents(files: DataFrame, root: str) -> DataFrame:
+    """`files` (rel_path, ...) with their contents as bytes, read by the tasks."""
+    at = files.columns.index("rel_path")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, base = fs.FileSystem.from_uri(root) if "://" in root else (fs.LocalFileSystem(), root)
+        for batch in batches:
+            for k, path in enumerate(batch.column(at).to_pylist()):
+                with store.open_input_stream(f"{base.rstrip('/')}/{path}") as file:
+                    content = pa.array([file.read()], pa.binary())
+                yield pa.RecordBatch.from_arrays([*batch.slice(k, 1).columns, content], [*batch.schema.names, "content"])
+
+    return files.mapInArrow(run, type(files.schema)([*files.schema.fields]).add("content", "binary"))
+
+
 def scan(spark: SparkSession, root: str, mode: str = "standard", max_bytes: int | None = None, include_vendor: bool = False, include_generated: bool = False) -> DataFrame:
     """(file_id, rel_path, language, role, is_vendor, is_generated, outcome, length, lines, hash, content) of a tree's files.
 
     Only known extensions are listed, and paths are filtered before contents are read. outcome: `ok`, `too-large` or
     `skipped-name`; contents of others are null. Ids follow the sorted paths. hash: 16 hex digits of SHA-256.
     """
-    base = root.rstrip("/")
-    every = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(base)
-    rel = F.regexp_replace(F.regexp_replace("path", "^file:/+", "/"), "^" + re.escape(base) + "/", "")
-    named = every.withColumn("rel_path", rel)
-    rules = named.filter(F.element_at(F.split("rel_path", "/"), -1).isin(*IGNORE_FILES)).select("rel_path", F.decode("content", F.lit("UTF-8")).alias("content"))
-    files = named.filter(language(F.col("rel_path")).isNotNull() & ~skipped(F.col("rel_path"), mode, include_vendor, include_generated))
-    return described(without_ignored(files.select("rel_path", "length", "content"), rules), max_bytes, include_generated)
+    names = listing(spark, root)
+    path = F.col("rel_path")
+    rules = with_contents(names.filter(F.element_at(F.split(path, "/"), -1).isin(*IGNORE_FILES)), root).select("rel_path", F.decode("content", "UTF-8").alias("content"))
+    wanted = names.filter(language(path).isNotNull() & ~skipped(path, mode, include_vendor, include_generated))
+    return described(with_contents(without_ignored(wanted, rules), root), max_bytes, include_generated)
 
 
 def described(files: DataFrame, max_bytes: int | None = None, include_generated: bool = False) -> DataFrame:
@@ -141,7 +165,7 @@ def described(files: DataFrame, max_bytes: int | None = None, include_generated:
     outcome = F.when(F.lit(not include_generated) & path.rlike(NEVER_PARSED), "skipped-name")
     if max_bytes is not None:
         outcome = outcome.when(F.col("length") > max_bytes, "too-large")
-    text = F.when(outcome.isNull(), F.decode("content", F.lit("UTF-8")))
+    text = F.when(outcome.isNull(), F.decode("content", "UTF-8"))
     out = files.select("rel_path", language(path).alias("language"), role(path).alias("role"), is_vendor(path).alias("is_vendor"), is_generated(path).alias("is_generated"), F.coalesce(outcome, F.lit("ok")).alias("outcome"), "length", F.size(F.split(text, "\n")).alias("lines"), F.when(outcome.isNull(), F.substring(F.sha2("content", 256), 1, 16)).alias("hash"), text.alias("content"))
     # ids by sorted path: paths alone are numbered, so no content moves to one task
     ids = numbered(out.select("rel_path"), "rel_path", "file_id")
