@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from codeloom.plans import catalogue
+from codeloom.plans import catalogue, indexing  # noqa: F401 - registers its queries
 
 DATA = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
