@@ -12,12 +12,12 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BLANK, ascii_lower, new_path, passing, stash, whole_ids
+from .common import BLANK, ascii_lower, discard, new_path, passing, stash, whole_ids
 
 #: A null id sorts before every other id.
 NO_ID = -(1 << 63)
-#: Lists of lost lines are searched line by line up to this product of lines and list; larger ones are joined.
-SEARCHED = 1 << 18
+#: Lists of lost lines are searched line by line up to this length; the lines of longer ones are joined with them.
+SEARCHED = 512
 
 
 def line_key(line: Column) -> Column:
@@ -53,8 +53,21 @@ class LineRuns:
     def _write(self, rows: DataFrame, label: str) -> DataFrame:
         name = f"codeloom_{uuid.uuid4().hex}"
         rows = rows.select("h1", "h2", F.col("n").cast("long").alias("n"), "last").repartition(self.buckets, "h1", "h2")
-        rows.write.bucketBy(self.buckets, "h1", "h2").sortBy("h1", "h2").option("path", passing(new_path(self.spark, label))).saveAsTable(name)
-        return self.spark.table(name)
+        path = passing(new_path(self.spark, label))
+        rows.write.bucketBy(self.buckets, "h1", "h2").sortBy("h1", "h2").option("path", path).saveAsTable(name)
+        out = self.spark.table(name)
+        out.stash_path, out.table_name = path, name
+        return out
+
+    def _drop(self, *runs: DataFrame) -> None:
+        for run in runs:
+            self.spark.sql(f"DROP TABLE {run.table_name}")
+            discard(run)
+
+    def close(self) -> None:
+        """Delete all runs."""
+        self._drop(*self.runs())
+        self.levels = [[]]
 
     def runs(self) -> list[DataFrame]:
         """All runs; a hash has a row in each run whose batches held it."""
@@ -66,27 +79,28 @@ class LineRuns:
             hashes = hashes.join(run.select("h1", "h2").hint("merge"), ["h1", "h2"], "left_anti")
         return hashes
 
-    def add(self, hashes: DataFrame) -> DataFrame:
+    def add(self, hashes: DataFrame) -> None:
         """Take in a batch of rows (h1, h2, id), one for each line of each document, whose ids are below those of all
-        batches before; returns its hashes that were in no run, with the largest id of each."""
+        batches before. Hashes that are in no run get the batch's largest id, the others add their count only."""
         sums = hashes.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.max("id").alias("last"))
         batch = self._write(sums, "batch")
         if self.runs():
             fresh = self.unseen(batch.select("h1", "h2", "last"))
             marked = batch.select("h1", "h2", "n").join(fresh.hint("merge"), ["h1", "h2"], "left")
             run = self._write(marked, "run-0")
+            self._drop(batch)
         else:
             run = batch
         self.levels[0] = [*self.levels[0], run]
         at = 0
         while len(self.levels[at]) >= self.fanout:
             merged = self._write(self._merged(self.levels[at]), f"run-{at + 1}")
+            self._drop(*self.levels[at])
             self.levels[at] = []
             if len(self.levels) == at + 1:
                 self.levels.append([])
             self.levels[at + 1] = [*self.levels[at + 1], merged]
             at += 1
-        return run.filter("last IS NOT NULL").select("h1", "h2", "last")
 
     @staticmethod
     def _merged(runs: list[DataFrame]) -> DataFrame:
@@ -122,8 +136,11 @@ def drop_lists(docs: DataFrame, id_col: str, text_col: str, min_chars: int, min_
     for b in range(batches, 0, -1):
         store.add(feed.filter(at == b - 1))
     often = stash(store.frequent(min_docs).select("h1", "h2", "last"), "line-often")
+    store.close()
     lost = feed.join(often, ["h1", "h2"]).filter(F.col("id") < F.col("last"))
-    return lost.groupBy(F.col("id").alias("x_id")).agg(F.collect_set(F.struct("h1", "h2")).alias("dropped"))
+    lists = stash(lost.groupBy(F.col("id").alias("x_id")).agg(F.collect_set(F.struct("h1", "h2")).alias("dropped")), "line-lists")
+    discard(feed, often)
+    return lists
 
 
 def _without_lost(rows: DataFrame, min_chars: int) -> DataFrame:
@@ -162,15 +179,18 @@ def dedup_lines(
     lists = drop_lists(docs, id_col, text_col, min_chars, min_docs, batches, fanout)
     names = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("r_id"), F.split(F.coalesce(F.col(text_col), F.lit("")), "\n").alias("lines"))
-    joined = rows.join(lists, F.col("r_id") == F.col("x_id"), "left").select("row", "lines", "dropped")
-    longest = lists.agg(F.max(F.size("dropped"))).first()[0] or 0
-    if longest <= 1 << 6:
-        return _result(_searched(joined, min_chars), names, text_col)
-    # some lists are long: the rows are written, and those with much to search for take the other way
-    joined = stash(joined, "lines-and-lists")
-    much = F.coalesce(F.size("lines").cast("long") * F.size("dropped") > SEARCHED, F.lit(False))
-    both = _searched(joined.filter(~much), min_chars).unionByName(_without_lost(joined.filter(much), min_chars))
-    return _result(both, names, text_col)
+    long = F.size("dropped") > SEARCHED
+    short = lists.select("x_id", F.when(~long, F.col("dropped")).alias("dropped"), long.alias("long"))
+    joined = rows.join(short, F.col("r_id") == F.col("x_id"), "left")
+    out = _searched(joined.filter("long IS NULL OR NOT long").select("row", "lines", "dropped"), min_chars)
+    # only the rows with long lists go the other way
+    some = stash(lists.filter(long), "long-lists")
+    n = some.count()
+    if n:
+        some = F.broadcast(some.select("x_id")) if n <= 100_000 else some.select("x_id")
+        held = rows.join(some, F.col("r_id") == F.col("x_id"), "left_semi")
+        out = out.unionByName(_without_lost(held.join(lists.filter(long), F.col("r_id") == F.col("x_id")).select("row", "lines", "dropped"), min_chars))
+    return _result(out, names, text_col)
 
 
 def _searched(rows: DataFrame, min_chars: int) -> DataFrame:

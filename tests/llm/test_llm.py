@@ -278,12 +278,17 @@ def test_runs_merge_without_shuffles(spark):
 def test_line_runs_levels(spark):
     store = line_dedup.LineRuns(spark, fanout=2)
     rows = lambda xs: spark.createDataFrame([(x, -x, i) for i, x in xs], "h1 long, h2 long, id long")
-    assert {(r.h1, r["last"]) for r in store.add(rows([(8, 5), (9, 5), (8, 6)])).collect()} == {(5, 9), (6, 8)}
-    assert [(r.h1, r["last"]) for r in store.add(rows([(3, 5), (3, 7)])).collect()] == [(7, 3)]
-    assert store.add(rows([(2, 8), (1, 5)])).count() == 1 and [len(x) for x in store.levels] == [1, 1]
-    assert {(r.h1, r.n, r["last"]) for r in store.frequent(3).collect()} == {(5, 4, 9)}
+    known = lambda n: {(r.h1, r.n, r["last"]) for r in store.frequent(n).collect()}
+    store.add(rows([(8, 5), (9, 5), (8, 6)]))
+    assert known(1) == {(5, 2, 9), (6, 1, 8)}
+    store.add(rows([(3, 5), (3, 7)]))
+    assert [len(x) for x in store.levels] == [0, 1] and [r.h1 for r in store.unseen(rows([(0, 7), (0, 4)])).collect()] == [4]
+    store.add(rows([(2, 8), (1, 5)]))
+    assert [len(x) for x in store.levels] == [1, 1] and known(3) == {(5, 4, 9)}
     store.add(rows([(0, 6)]))
-    assert [len(x) for x in store.levels] == [0, 0, 1] and {(r.h1, r.n, r["last"]) for r in store.frequent(1).collect()} == {(5, 4, 9), (6, 2, 8), (7, 1, 3), (8, 1, 2)}
+    assert [len(x) for x in store.levels] == [0, 0, 1] and known(1) == {(5, 4, 9), (6, 2, 8), (7, 1, 3), (8, 1, 2)}
+    store.close()
+    assert store.runs() == []
 
 
 def test_toxicity_held_out(spark):
