@@ -7,11 +7,13 @@ from datetime import UTC, datetime
 import pytest
 from pyspark.sql import functions as F
 
+from codeloom.api import Index
 from codeloom.extract import files as X
 from codeloom.functions import text as T
 from codeloom.operators import continuity, derive, evidence, graph, lookups, modules, reports, search, services
 from codeloom.operators import symbols as S
 from codeloom.sources import git, manifests, scip, store, tree
+from codeloom.streaming.refresh import Snapshots, freshness
 
 from . import samples
 
@@ -364,3 +366,36 @@ def test_batch():
     assert out[0]["result"] == 2 and not out[1]["ok"] and "ZeroDivisionError" in out[1]["error"]
     with pytest.raises(ValueError, match="at most"):
         reports.batch([("a", {})] * 26, {})
+
+
+def test_tools(tables):
+    index = Index(tables)
+    at = ids(tables)
+    start = at[("packages/web/src/app.ts", "start")]
+    assert column(index.call("callers", symbol="charge", file="src/pay.ts"), "caller") == ["start"]
+    assert index.call("callers", symbol="helper", by_name=True, by_file=True).first().sites == 1
+    assert "charge" in column(index.call("callees", symbol="start"), "to_name")
+    assert [r.qualified_name for r in index.call("trace_path", source="test_start", target="start").collect()] == ["test_start", "start"]
+    assert index.call("trace", scope="callers", symbol=str(start))["depths"].first().n == 1
+    assert index.call("routes", method="POST").count() == 1 and index.call("service_links").first().caller == "start"
+    assert index.call("skeleton", file="store.py").first().text.startswith("def save(id)")
+    assert [r["ok"] for r in index.batch([("stats", {}), ("definition", {"symbol": "nothing"}), ("callers", {"symbol": "nothing"}), ("no", {})])] == [True, True, False, False]
+    assert len(index.tools()) >= 40
+    with pytest.raises(TypeError):
+        index.call("routes", colour="red")
+    with pytest.raises(ValueError, match="negative"):
+        index.call("complexity", limit=-1)
+
+
+def test_snapshots_go_on_after_a_restart(spark, tmp_path):
+    make = lambda rows: spark.createDataFrame(rows, "k long, at int, v string")
+    first = Snapshots(spark, f"{tmp_path}/s", "k", ["at"])
+    first.apply(make([(1, 1, "a"), (2, 1, "b")]), 0)
+    again = Snapshots(spark, f"{tmp_path}/s", "k", ["at"])
+    assert again.version == 0 and freshness(again, False, False) == "fresh" and freshness(again, True, True) == "stale"
+    again.apply(make([(1, 0, "late"), (2, 5, "c")]), 1)
+    again.apply(make([(9, 9, "twice")]), 1)
+    assert sorted((r.k, r.v) for r in Snapshots(spark, f"{tmp_path}/s", "k", ["at"]).read().collect()) == [(1, "a"), (2, "c")]
+    assert sorted((r.k, r.v) for r in again.read(0).collect()) == [(1, "a"), (2, "b")]
+    again.forget(1)
+    assert again.versions() == [1] and freshness(Snapshots(spark, f"{tmp_path}/none", "k", ["at"]), False, False) == "missing"
