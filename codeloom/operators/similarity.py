@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import combinations
+from math import comb
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .graph import components
+from .graph import _checkpoint, components
 
 #: What a shape token is, comments first; and the constants of FNV-1a with 64 bits.
 COMMENT = r"//[^\n]*|#[^\n]*|/\*.*?(?:\*/|\z)"
@@ -17,8 +19,8 @@ QUOTED = "|".join(rf"{q}[^{q}\\]*(?:\\.[^{q}\\]*)*(?:{q}|\\?\z)" for q in "\"'`"
 NAME, NUMBER, OTHER = r"[A-Za-z_$][A-Za-z0-9_$]*", r"[0-9][0-9._xX]*", r"[^ \t\n\r]"
 SHAPE = f"(?s)(?:{'|'.join((COMMENT, QUOTED, NAME, NUMBER, OTHER))})"
 FNV_START, FNV_PRIME = 0xCBF29CE484222325, 0x100000001B3
-#: Distinct grams whose hashes a call keeps.
-MEMO = 200_000
+#: Distinct grams whose votes a task keeps, and rows that it works on at a time.
+MEMO, SOME = 50_000, 64
 
 
 def shape_tokens(body: Column) -> Column:
@@ -38,46 +40,103 @@ def fnv64(text: str) -> int:
     return h
 
 
-def shape_hash(body: Column, least: int = 8, n: int = 3) -> Column:
-    """64-bit SimHash, as a signed long, over n-grams of shape tokens; null for fewer than `least` tokens or null bodies."""
-
-    @F.pandas_udf("long")
-    def fold(kinds: pd.Series) -> pd.Series:
-        memo: dict[str, np.ndarray] = {}
-
-        def one(tokens):
-            if tokens is None or len(tokens) < least:
-                return None
-            grams, counts = np.unique(np.array(["|".join(tokens[i : i + n]) for i in range(len(tokens) - n + 1)], dtype=object), return_counts=True)
-            if len(memo) > MEMO:
-                memo.clear()
-            for g in grams:
-                if g not in memo:
-                    memo[g] = np.unpackbits(np.array([fnv64(g)], dtype="<u8").view(np.uint8), bitorder="little").astype(np.int64) * 2 - 1
-            votes = sum(memo[g] * c for g, c in zip(grams, counts, strict=True))
-            return int(np.packbits(votes > 0, bitorder="little").view("<i8")[0])
-
-        return pd.Series([one(t) for t in kinds], dtype="Int64")
-
-    return fold(shape_tokens(body))
-
-
-def hamming_pairs(hashes: DataFrame, most: int = 6, blocks: int = 8) -> DataFrame:
+def _votes(kinds: pa.ListArray, least: int, n: int, bits: dict[str, np.ndarray]) -> np.ndarray:
+    """(hash, known) of lists of tokens, in whole-array steps: grams are numbers made of the numbers of their tokens, counted
+    once a list; each distinct gram is hashed once, and `bits` keeps its 64 votes."""
+    edges = kinds.offsets.to_numpy().astype(np.int64)
+    coded = kinds.flatten().dictionary_encode()
+    names, codes = coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    base, lengths = max(len(names), 1), np.diff(edges)
+    fine = lengths >= max(least, n)
+    # the first token of each gram, by list
+    count = np.where(fine, lengths - n + 1, 0)
+    owner = np.repeat(np.arange(len(lengths)), count)
+    first = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(edges[:-1] - edges[0], count)
+    grams = np.zeros(len(first), dtype=np.int64)
+    for k in range(n):
+        grams = grams * base + codes[first + k]
+    distinct, gram = np.unique(grams, return_inverse=True)
+    pairs, times = np.unique(owner * max(len(distinct), 1) + gram, return_counts=True)
+    owner, gram = pairs // max(len(distinct), 1), pairs % max(len(distinct), 1)
+    votes = np.zeros((max(len(distinct), 1), 64))
+    for i, g in enumerate(distinct.tolist()):
+        parts = []
+        for _ in range(n):
+            parts.append(names[g % base])
+            g //= base
+        text = "|".join(reversed(parts))
+        if text not in bits:
+            bits[text] = np.unpackbits(np.array([fnv64(text)], dtype="<u8").view(np.uint8), bitorder="little").astype(float) * 2 - 1
+        votes[i] = bits[text]
+    out = np.zeros(len(lengths), dtype=np.uint64)
+    for b in range(64):
+        total = np.bincount(owner, weights=times * votes[gram, b], minlength=len(lengths))
+        out |= (total > 0).astype(np.uint64) << np.uint64(b)
+    return out.view(np.int64), fine
+
+
+def with_shape_hash(rows: DataFrame, body: str, name: str = "hash", least: int = 8, n: int = 3) -> DataFrame:
+    """`rows` with a 64-bit SimHash, a signed long, over n-grams of shape tokens of the column `body`, which goes; null for
+    fewer than `least` tokens and for null bodies."""
+    rest = [c for c in rows.columns if c != body]
+    tokens = rows.select(*[F.col(f"`{c}`") for c in rest], shape_tokens(F.col(f"`{body}`")).alias("_kinds"))
+    schema = type(rows.schema)([rows.schema[c] for c in rest]).add(name, "long")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits: dict[str, np.ndarray] = {}
+        for batch in batches:
+            for at in range(0, batch.num_rows, SOME):
+                part = batch.slice(at, SOME)
+                kinds = pa.array(part.column(len(rest)), pa.list_(pa.string()))
+                known = np.array(kinds.is_valid())
+                hashes, fine = _votes(kinds.fill_null(pa.scalar([], pa.list_(pa.string()))) if kinds.null_count else kinds, least, n, bits)
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(hashes, pa.int64(), mask=~(fine & known))], schema.names)
+                if len(bits) > MEMO:
+                    bits.clear()
+
+    return tokens.mapInArrow(run, schema)
+
+
+def block_choice(values: int, most: int) -> int:
+    """Into how many blocks to cut the bits of so many values: what makes fewest copies and chance candidates."""
+
+    def cost(blocks: int) -> float:
+        copies, bits = comb(blocks, most), 64 * (blocks - most) / blocks
+        return copies * values + copies * values * values / 2 ** (bits + 1)
+
+    return min(range(most + 1, most + 7), key=cost)
+
+
+def hamming_pairs(hashes: DataFrame, most: int = 6, blocks: int | None = None) -> DataFrame:
     """(a, b, distance), a < b: distinct values of `hash` at most `most` bits apart.
 
     Values that differ in at most `most` bits agree on at least blocks - most of the blocks that their bits are cut
-    into, so values meet by every choice of so many blocks; no pair is lost. Only distinct values take part: copies
-    belong to their value and are never paired.
+    into, so values meet by every choice of so many blocks; no pair is lost. More values are cut into more blocks, so that
+    chance meetings stay fewer than copies. Only distinct values take part: copies belong to their value and are never
+    paired. A pair is made by the first choice that brings it together, so no pair is made twice.
     """
+    values = hashes.select("hash").filter("hash IS NOT NULL").distinct()
+    if blocks is None:
+        values = _checkpoint(values)
+        blocks = block_choice(values.count(), most)
     if not 0 <= most < blocks <= 64:
         raise ValueError("more blocks than differing bits are needed")
     at = [64 * i // blocks for i in range(blocks + 1)]
-    part = [F.shiftrightunsigned(F.col("hash"), at[i]).bitwiseAND(F.lit((1 << (at[i + 1] - at[i])) - 1)) if blocks > 1 else F.col("hash") for i in range(blocks)]
-    keys = [F.struct(F.lit(k).alias("choice"), F.array(*[part[i] for i in some]).alias("bits")) for k, some in enumerate(combinations(range(blocks), blocks - most))]
-    rows = hashes.select("hash").filter("hash IS NOT NULL").distinct().select("hash", F.explode(F.array(*keys)).alias("key"))
+    masks = [((1 << (at[i + 1] - at[i])) - 1) << at[i] for i in range(blocks)]
+    signed = lambda m: m - (1 << 64) if m >= 1 << 63 else m
+    choices = list(combinations(range(blocks), blocks - most))
+    keys = F.array(*[F.struct(F.lit(k).alias("choice"), F.col("hash").bitwiseAND(F.lit(signed(sum(masks[i] for i in some)))).alias("bits")) for k, some in enumerate(choices)])
+    rows = values.select("hash", F.explode(keys).alias("key")).select("hash", "key.choice", "key.bits")
     a, b = rows.withColumnRenamed("hash", "a"), rows.withColumnRenamed("hash", "b")
-    distance = F.bit_count(F.col("a").bitwiseXOR(F.col("b")))
-    return a.join(b, "key").filter(F.col("a") < F.col("b")).select("a", "b", distance.cast("int").alias("distance")).filter(F.col("distance") <= most).distinct()
+    differ = F.col("a").bitwiseXOR(F.col("b"))
+    pairs = a.join(b, ["choice", "bits"]).filter((F.col("a") < F.col("b")) & (F.bit_count(differ) <= most))
+    # the first choice of equal blocks, in the order of combinations, is made of the first blocks that agree
+    agree = F.filter(F.array(*[F.when(differ.bitwiseAND(F.lit(signed(m))) == 0, F.lit(i)) for i, m in enumerate(masks)]), lambda x: x.isNotNull())
+    first = F.create_map(*[F.lit(x) for k, some in enumerate(choices) for x in (",".join(map(str, some)), k)]) if len(choices) <= 1000 else None
+    if first is None:
+        return pairs.select("a", "b", F.bit_count(differ).cast("int").alias("distance")).distinct()
+    lead = F.array_join(F.slice(agree, 1, blocks - most), ",")
+    return pairs.filter(first[lead] == F.col("choice")).select("a", "b", F.bit_count(differ).cast("int").alias("distance"))
 
 
 def duplicate_clusters(hashes: DataFrame, most: int = 6) -> DataFrame:

@@ -383,7 +383,7 @@ SHAPE_SQL = rf"""s_kinds AS MATERIALIZED (SELECT doc_id, list_transform(list_fil
 
 
 def _shapes(spark, d):
-    return V.table(spark, d, "documents").select("doc_id", similarity.shape_hash(F.col("text")).alias("hash"))
+    return similarity.with_shape_hash(V.table(spark, d, "documents").select("doc_id", "text"), "text")
 
 
 @query(f"WITH {SHAPE_SQL} SELECT doc_id, hash FROM documents LEFT JOIN s_doc USING (doc_id)")

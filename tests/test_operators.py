@@ -62,7 +62,7 @@ def test_renamed_twins_share_a_shape(spark):
     a = "def charge(user, sum):\n    # takes money\n    if sum > 10: return 'no'\n    return pay(user, sum)"
     b = a.replace("charge", "bill").replace("user", "client").replace("'no'", '"never; ever"').replace("takes money", "other words ( {")
     rows = [(1, a), (2, b), (3, "a = [1, 2, 3]; b = {x: y}; c = a[0] + b[x] * 2 - 7"), (4, "too few"), (5, None), (6, ""), (7, "'" + "x\\'" * 200_000)]
-    hashed = spark.createDataFrame(rows, "id long, body string").select("id", similarity.shape_hash(F.col("body")).alias("hash")).cache()
+    hashed = similarity.with_shape_hash(spark.createDataFrame(rows, "id long, body string"), "body").cache()
     got = {r.id: r.hash for r in hashed.collect()}
     assert got[1] == got[2] is not None and got[3] not in (None, got[1])
     assert got[4] is got[5] is got[6] is got[7] is None
