@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from codeloom.api import Index
+from codeloom.build import build, export
 from codeloom.extract import files as X
 from codeloom.functions import text as T
 from codeloom.operators import continuity, derive, evidence, graph, lookups, modules, reports, search, services
@@ -399,3 +400,19 @@ def test_snapshots_go_on_after_a_restart(spark, tmp_path):
     assert sorted((r.k, r.v) for r in again.read(0).collect()) == [(1, "a"), (2, "b")]
     again.forget(1)
     assert again.versions() == [1] and freshness(Snapshots(spark, f"{tmp_path}/none", "k", ["at"]), False, False) == "missing"
+
+
+def test_build_of_a_repository(spark, root, tmp_path):
+    subprocess.run(f"cp -r {root} {tmp_path}/r && cd {tmp_path}/r && git init -q && git add . && git -c user.name=A -c user.email=a@x commit -qm one", shell=True, check=True)
+    index = build(spark, f"{tmp_path}/r", f"{tmp_path}/out")
+    assert index.call("callers", symbol="charge", file="src/pay.ts").first().caller == "start"
+    link = index.call("service_links").first()
+    assert (link.caller, link.handler, link.match_kind) == ("start", "charge", "route_pattern")
+    assert index.call("routes", framework="grpc").first().operation == "Users/Get" and index.call("history", symbol="start").count() == 1 and index.call("churn").count() == 7
+    assert {r.root for r in index.call("boundaries").collect()} == {"packages/web", "services/billing"} and index.call("boundary_for_file", file="store.py").first().label == "billing"
+    assert index.call("symbol_module", symbol="save").first().label == "services#1" and index.call("dependencies", ecosystem="go").count() == 2
+    (tmp_path / "r/docs/notes.py").write_text("def other(): pass\n")
+    again = build(spark, f"{tmp_path}/r", f"{tmp_path}/out2", old=index.tables, with_history=False)
+    names = lambda x: column(x.tables["symbols"], "qualified_name")
+    assert set(names(again)) - set(names(index)) == {"other"} and len(names(again)) == len(names(index))
+    assert export(index, f"{tmp_path}/bundle", f"{tmp_path}/r")["head"]
