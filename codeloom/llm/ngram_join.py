@@ -5,10 +5,16 @@ order for all rows: those that rounds of counting found in several prefixes last
 that they hash to are filled in the whole corpus, then by hash. Of two rows
 that meet the Jaccard bound, the prefixes of n - ceil(pct * n / 100) + 1 columns share one. So the product is formed
 column by column over the prefixes only, where common passages come last, and products of rows that cannot reach the
-bound by their sizes and the places of a shared column are discarded; overlaps of the others are counted in full.
+bound by their sizes and the places of a shared column are discarded. Columns that one prefix alone holds are never
+written: a map of bits, filled by a count of all of them, tells the rest (and few more, which a second count drops).
+Pairs that share a column by chance grow faster than the corpus. So each set has a parity map, a bit of it for each
+slot that an odd number of its columns hash to: two maps differ in at most as many bits as the sets differ in columns,
+so pairs whose maps differ in more than the bound allows are discarded without their texts. Overlaps of the others are
+counted in full.
 
 Many rows may share a column. One of them, the row that shares most columns with others, leads: its overlaps with all
-of them are counted first. Where the others do not all link to one group, the overlap of two of them, x and y, follows
+of them are counted first. Where the others do not all link to one group, all pairs of a column of few rows are
+formed, and held against the parity maps as before. In a column of many rows, the overlap of two of them, x and y, follows
 from their differences from the leader, dx and dy: x and y differ in |dx| + |dy| - 2 |dx & dy| n-grams. If that meets
 the bound without a common difference, both meet it with the leader too; else they share at least one n-gram of a
 prefix of their differences, and only such pairs, of rows that links have not yet brought together, are counted. So a
@@ -27,7 +33,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, small_batches, stash, tidy, whole_ids
+from .common import discard, small_batches, tidy, whole_ids
+from .common import stash_alone as stash
 
 #: Stands for a null id; sorts after all others.
 NO_ID = (1 << 63) - 1
@@ -40,8 +47,11 @@ ODD = 0x9E3779B97F4A7C15
 U = np.uint64
 #: Columns hash to so many slots, whose counts are made in chunks; so many partial counts are added up at a time.
 SLOT_BITS, CHUNK_BITS, ADDED = 20, 14, 256
-#: Columns known to be shared are marked in a map of so many bits, made in chunks; in so many rounds.
-MARK_BITS, MARKED_BITS, ROUNDS = 26, 16, 2
+#: Columns known to be shared are marked in a map of a bit for each column of a prefix, within these powers of two, made
+#: in chunks; in so many rounds.
+MARK_BITS, MOST_MARK_BITS, MARKED_BITS, ROUNDS = 26, 29, 16, 2
+#: Columns of at most so many rows have all their pairs formed where the leader's do not settle them.
+FEW = 32
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -106,15 +116,19 @@ def slots(grams: np.ndarray) -> np.ndarray:
     return (grams >> U(64 - SLOT_BITS)).astype(np.int64)
 
 
+def marked_in(marks: np.ndarray, grams: np.ndarray) -> np.ndarray:
+    """1 where the bit of a map that a column hashes to is set, else 0."""
+    bit = (grams >> U(64 - (len(marks) * 8).bit_length() + 1)).astype(np.int64)
+    return (marks[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1
+
+
 def prefix_keys(grams: np.ndarray, pct: int, levels: np.ndarray, marks: np.ndarray) -> np.ndarray:
     """The columns of a set that come first in the order of all columns, as many as its size and the bound ask for:
     unmarked columns before marked ones, of these those of rarely filled slots first."""
     n = len(grams)
     if not n:
         return grams
-    bit = (grams >> U(64 - MARK_BITS)).astype(np.int64)
-    marked = (marks[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1
-    order = np.argsort(levels[slots(grams)].astype(np.uint16) + marked.astype(np.uint16) * 256, kind="stable")
+    order = np.argsort(levels[slots(grams)].astype(np.uint16) + marked_in(marks, grams).astype(np.uint16) * 256, kind="stable")
     return grams[order[: n - -(-pct * n // 100) + 1]]
 
 
@@ -123,11 +137,29 @@ def set_sums(grams: np.ndarray) -> tuple[int, int]:
     return int(mix(grams).sum(dtype=U).view(np.int64)), int(np.bitwise_xor.reduce(mix(grams ^ U(0x5851F42D4C957F2D))).view(np.int64)) if len(grams) else 0
 
 
+def parity_map(grams: np.ndarray) -> bytes:
+    """As many bits as the set has columns, up to a power of two (64 at least), each set if an odd number of columns
+    has its number as their last bits. A map folds to half its size by the exclusive or of its halves."""
+    m = max(64, 1 << (len(grams) - 1).bit_length()) if len(grams) else 64
+    return np.packbits((np.bincount((grams & U(m - 1)).astype(np.int64), minlength=m) & 1).astype(np.uint8), bitorder="little").tobytes()
+
+
+def least_apart(x: bytes, y: bytes) -> int:
+    """Of the parity maps of two sets: the number of columns in which the sets differ at least."""
+    if len(x) < len(y):
+        x, y = y, x
+    u, size = int.from_bytes(x, "little"), 8 * len(x)
+    while size > 8 * len(y):
+        size //= 2
+        u = (u >> size) ^ (u & ((1 << size) - 1))
+    return (u ^ int.from_bytes(y, "little")).bit_count()
+
+
 def document_sets(rows: DataFrame, n: int) -> DataFrame:
-    """(id, s1, s2, n_shingles) of rows (id, text); and, with part, chunk and counts set instead, each task's counts of
-    filled slots, a chunk of slots a row."""
-    names = ["id", "s1", "s2", "n_shingles", "part", "chunk", "counts"]
-    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
+    """(id, s1, s2, n_shingles, parity) of rows (id, text); and, with part, chunk and counts set instead, each task's
+    counts of filled slots, a chunk of slots a row."""
+    names = ["id", "s1", "s2", "n_shingles", "parity", "part", "chunk", "counts"]
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.binary())
 
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -137,15 +169,15 @@ def document_sets(rows: DataFrame, n: int) -> DataFrame:
             for _, some in pieces(batch, 1):
                 sets = gram_sets(some, n)
                 counts += np.bincount(slots(np.concatenate(sets)), minlength=len(counts))
-                sums += [(*set_sums(s), len(s)) for s in sets]
-            cols = [batch.column(0), *(pa.array([s[k] for s in sums], pa.int64()) for k in range(3))]
-            yield pa.RecordBatch.from_arrays([*cols, *(pa.nulls(len(sums), k) for k in kinds[4:])], names)
+                sums += [(*set_sums(s), len(s), parity_map(s)) for s in sets]
+            cols = [batch.column(0), *(pa.array([s[k] for s in sums], kinds[k + 1]) for k in range(4))]
+            yield pa.RecordBatch.from_arrays([*cols, *(pa.nulls(len(sums), k) for k in kinds[5:])], names)
         chunks = counts.astype("<i8").reshape(-1, 1 << CHUNK_BITS)
         part = TaskContext.get().partitionId()
-        cols = [pa.nulls(len(chunks), k) for k in kinds[:4]]
-        yield pa.RecordBatch.from_arrays([*cols, pa.array([part] * len(chunks), kinds[4]), pa.array(range(len(chunks)), kinds[5]), pa.array([c.tobytes() for c in chunks], kinds[6])], names)
+        cols = [pa.nulls(len(chunks), k) for k in kinds[:5]]
+        yield pa.RecordBatch.from_arrays([*cols, pa.array([part] * len(chunks), kinds[5]), pa.array(range(len(chunks)), kinds[6]), pa.array([c.tobytes() for c in chunks], kinds[7])], names)
 
-    return rows.mapInArrow(run, "id long, s1 long, s2 long, n_shingles long, part int, chunk int, counts binary")
+    return rows.mapInArrow(run, "id long, s1 long, s2 long, n_shingles long, parity binary, part int, chunk int, counts binary")
 
 
 def slot_levels(partial: DataFrame) -> np.ndarray:
@@ -186,13 +218,14 @@ def marked_rows(rows: DataFrame, n: int) -> DataFrame:
     return rows.mapInArrow(run, schema)
 
 
-def document_keys(rows: DataFrame, n: int, pct: int, levels: np.ndarray, marks: np.ndarray) -> DataFrame:
-    """(key, id, pos, size): the prefix columns of rows (id, text), their places in the prefix, and the set's size."""
-    shared = rows.sparkSession.sparkContext.broadcast((levels.tobytes(), marks.tobytes()))
+def document_keys(rows: DataFrame, n: int, pct: int, levels: np.ndarray, marks: np.ndarray, held: np.ndarray | None = None) -> DataFrame:
+    """(key, id, pos, size): the prefix columns of rows (id, text), their places in the prefix, and the set's size; of
+    columns that the map `held` marks, if it is given."""
+    shared = rows.sparkSession.sparkContext.broadcast((levels.tobytes(), marks.tobytes(), None if held is None else held.tobytes()))
 
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        levels, marks = (np.frombuffer(x, np.uint8) for x in shared.value)
+        levels, marks, held = (x if x is None else np.frombuffer(x, np.uint8) for x in shared.value)
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             for at, some in pieces(batch, 1):
@@ -200,34 +233,52 @@ def document_keys(rows: DataFrame, n: int, pct: int, levels: np.ndarray, marks:
                 keys = [prefix_keys(g, pct, levels, marks).view(np.int64) for g in sets]
                 k = np.array([len(x) for x in keys])
                 spots = np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k)
-                sizes = np.repeat([len(g) for g in sets], k)
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.repeat(ids[at : at + len(some)], k), pa.int64()), pa.array(spots, pa.int32()), pa.array(sizes, pa.int32())], ["key", "id", "pos", "size"])
+                cols = [np.concatenate(keys), np.repeat(ids[at : at + len(some)], k), spots, np.repeat([len(g) for g in sets], k)]
+                if held is not None:
+                    wanted = marked_in(held, cols[0].view(U)).astype(bool)
+                    cols = [c[wanted] for c in cols]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)], ["key", "id", "pos", "size"])
 
     return rows.mapInArrow(run, "key long, id long, pos int, size int")
 
 
-def marked_columns(rows: DataFrame, n: int, pct: int, levels: np.ndarray) -> np.ndarray:
-    """A map of bits in which columns that are in several prefixes are marked, so that they come last in the order.
+def mark_bits(sets: DataFrame, pct: int) -> int:
+    """The power of two of a map that has a bit for each column of the prefixes of `sets`, as far as it may grow."""
+    n = F.col("n_shingles")
+    columns = sets.agg(F.sum(n - F.ceil(pct * n / 100) + 1)).first()[0] or 0
+    return min(max(MARK_BITS, int(columns).bit_length()), MOST_MARK_BITS)
 
-    Each round counts the columns of the prefixes that the marks so far give. Marks change the order for all rows alike,
-    so any are right; the fewer prefixes share a column without being near copies, the less is compared. The map has a
-    fixed size: it tells less in a corpus with many more shared columns than bits.
-    """
+
+def repeated_columns(rows: DataFrame, n: int, pct: int, levels: np.ndarray, marks: np.ndarray) -> np.ndarray:
+    """A map of bits, of the size of `marks`, in which columns that are in several of the prefixes are marked."""
+    bits = (len(marks) * 8).bit_length() - 1
     chunk = F.shiftright("bit", MARKED_BITS)
 
     def pack(table: pa.Table) -> pa.Table:
-        bits = table.column("bit").to_numpy()
+        found = table.column("bit").to_numpy()
         image = np.zeros(1 << MARKED_BITS, dtype=np.uint8)
-        image[bits & ((1 << MARKED_BITS) - 1)] = 1
-        return pa.table({"chunk": pa.array([int(bits[0]) >> MARKED_BITS], pa.int32()), "image": pa.array([np.packbits(image, bitorder="little").tobytes()], pa.binary())})
+        image[found & ((1 << MARKED_BITS) - 1)] = 1
+        return pa.table({"chunk": pa.array([int(found[0]) >> MARKED_BITS], pa.int32()), "image": pa.array([np.packbits(image, bitorder="little").tobytes()], pa.binary())})
+
+    often = document_keys(rows, n, pct, levels, marks).groupBy("key").count().filter("count > 1")
+    found = often.select(F.shiftrightunsigned("key", 64 - bits).cast("int").alias("bit")).distinct()
+    images = stash(found.groupBy(chunk.alias("c")).applyInArrow(pack, "chunk int, image binary"), "marks")
+    out, size = np.zeros(len(marks), dtype=np.uint8), 1 << MARKED_BITS - 3
+    for r in images.collect():
+        out[r["chunk"] * size : (r["chunk"] + 1) * size] = np.frombuffer(r["image"], np.uint8)
+    discard(images)
+    return out
+
+
+def marked_columns(rows: DataFrame, n: int, pct: int, levels: np.ndarray, bits: int = MARK_BITS) -> np.ndarray:
+    """A map of 2^bits bits in which columns that are in several prefixes are marked, so that they come last in the order.
 
-    marks = np.zeros(1 << MARK_BITS - 3, dtype=np.uint8)
-    size = 1 << MARKED_BITS - 3
+    Each round counts the columns of the prefixes that the marks so far give. Marks change the order for all rows alike,
+    so any are right; the fewer prefixes share a column without being near copies, the less is compared.
+    """
+    marks = np.zeros(1 << bits - 3, dtype=np.uint8)
     for _ in range(ROUNDS):
-        often = document_keys(rows, n, pct, levels, marks).groupBy("key").count().filter("count > 1")
-        bits = often.select(F.shiftrightunsigned("key", 64 - MARK_BITS).cast("int").alias("bit")).distinct()
-        for r in bits.groupBy(chunk.alias("c")).applyInArrow(pack, "chunk int, image binary").collect():
-            marks[r["chunk"] * size : (r["chunk"] + 1) * size] |= np.frombuffer(r["image"], np.uint8)
+        marks |= repeated_columns(rows, n, pct, levels, marks)
     return marks
 
 
@@ -236,6 +287,20 @@ def slack(x: int, y: int, pct: int) -> int:
     return (x + y) * (100 - pct) // (100 + pct)
 
 
+def within_reach(pairs: DataFrame, sets: DataFrame, pct: int) -> DataFrame:
+    """Those of the pairs (a, b) that may meet the bound by the sizes and parity maps of their `sets`."""
+    x, y = (sets.select(F.col("id").alias(k), F.col("n_shingles").alias(f"n_{k}"), F.col("parity").alias(f"parity_{k}")) for k in "ab")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            maps = zip(*(batch.column(k).to_pylist() for k in (2, 3, 4, 5)), strict=True)
+            near = pa.array([least_apart(p, q) <= slack(m, n, pct) for m, n, p, q in maps], pa.bool_())
+            yield batch.select([0, 1]).filter(near)
+
+    joined = pairs.join(x, "a").join(y, "b")
+    return joined.select("a", "b", "n_a", "n_b", "parity_a", "parity_b").mapInArrow(run, "a long, b long")
+
+
 def counted(pairs: DataFrame, texts: DataFrame, n: int, pct: int) -> DataFrame:
     """(a, b, linked) of the pairs (a, b, more): whether 100 * overlap >= pct * union. Where `more` is set, further rows
     have (gram, size, off, pos, near): the prefix of its differences from a, n-grams that a lacks first, each
@@ -319,6 +384,14 @@ def second_pairs(prefixes: DataFrame, labels: DataFrame, pct: int) -> DataFrame:
     return joined.select(F.least("x_id", "y_id").alias("a"), F.greatest("x_id", "y_id").alias("b")).distinct()
 
 
+def few_pairs(named: DataFrame, pct: int) -> DataFrame:
+    """Pairs (a, b) of rows of different groups, of those (key, sizes, b, pos, size, comp) that share a column, whose
+    sizes and places there may meet the bound."""
+    x = named.select("key", "sizes", F.col("b").alias("x"), F.col("pos").alias("pos_a"), F.col("size").alias("size_a"), F.col("comp").alias("comp_a"))
+    joined = named.join(x, ["key", "sizes"]).filter((F.col("x") < F.col("b")) & (F.col("comp_a") != F.col("comp")) & _reachable(pct))
+    return joined.select(F.col("x").alias("a"), "b").distinct()
+
+
 def _sized(ids: DataFrame) -> DataFrame:
     """A written table of ids, to be broadcast only if it is small enough."""
     return F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
@@ -340,14 +413,15 @@ def _groups(rows: DataFrame, words: int, pct: int) -> DataFrame:
     """(id, n_shingles, component) of rows (id, text) of distinct ids. Copies are one row of the matrix."""
     marked = stash(document_sets(rows, words), "sets")
     levels = slot_levels(marked.filter("chunk IS NOT NULL").select("part", "chunk", "counts"))
-    sets = marked.filter("chunk IS NULL").select("id", *SET)
+    sets = marked.filter("chunk IS NULL").select("id", *SET, "parity")
     reps = sets.filter("n_shingles > 0").groupBy(*SET).agg(F.min("id").alias("rep"))
     member = stash(sets.join(reps, SET, "left").select("id", "n_shingles", F.coalesce("rep", "id").alias("rep")), "members")
-    discard(marked)
     copies = stash(member.filter("id <> rep").select("id").distinct(), "copies")
     alone = rows.join(_sized(copies), "id", "left_anti")
 
-    keys = stash(document_keys(alone, words, pct, levels, marked_columns(alone, words, pct, levels)), "columns")
+    marks = marked_columns(alone, words, pct, levels, mark_bits(sets, pct))
+    held = repeated_columns(alone, words, pct, levels, marks)
+    keys = stash(document_keys(alone, words, pct, levels, marks, held), "columns")
     often = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     shared = stash(keys.join(often, "key"), "shared-columns")
     discard(keys)
@@ -355,10 +429,11 @@ def _groups(rows: DataFrame, words: int, pct: int) -> DataFrame:
     ranked = shared.join(weight, "id").select("key", F.struct("weight", (-F.col("id")).alias("id"), "pos", "size").alias("at"))
     leads = ranked.groupBy("key").agg(F.max("at").alias("lead"))
     leads = leads.select("key", (-F.col("lead.id")).alias("a"), F.col("lead.pos").alias("pos_a"), F.col("lead.size").alias("size_a"))
-    led = shared.join(leads, "key").filter("id <> a").select("key", "a", F.col("id").alias("b"), "size", _reachable(pct).alias("reachable"))
+    led = shared.join(leads, "key").filter("id <> a").select("key", "a", F.col("id").alias("b"), "n", "pos", "size", _reachable(pct).alias("reachable"))
     led = stash(led, "led")
     discard(shared)
-    pairs = stash(led.groupBy("a", "b").agg(F.min("reachable").alias("reachable")).filter("reachable").select("a", "b"), "pairs")
+    pairs = led.groupBy("a", "b").agg(F.min("reachable").alias("reachable")).filter("reachable").select("a", "b")
+    pairs = stash(within_reach(pairs, sets, pct), "pairs")
     texts = _texts(rows, pairs)
     first = stash(counted(pairs.withColumn("more", F.lit(False)), texts, words, pct), "counted")
     discard(texts)
@@ -367,13 +442,17 @@ def _groups(rows: DataFrame, words: int, pct: int) -> DataFrame:
 
     # others of one column are compared with each other only where rows of different groups have sizes that may fit
     step = F.floor(F.log(F.col("size").cast("double")) / F.lit(1.0001 * math.log(100 / pct)))
-    named = led.join(labels, F.col("b") == F.col("node"), "left").select("key", "a", "b", F.coalesce("label", "b").alias("comp"), F.explode(F.array(step, step + 1)).alias("sizes"))
+    named = led.join(labels, F.col("b") == F.col("node"), "left").select("key", "a", "b", "n", "pos", "size", F.coalesce("label", "b").alias("comp"), F.explode(F.array(step, step + 1)).alias("sizes"))
     mixed = named.groupBy("key", "sizes").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).filter("c0 <> c1").select("key", "sizes")
-    unclear = stash(named.join(mixed, ["key", "sizes"], "left_semi").select("a", "b").distinct(), "unclear")
+    named = stash(named.join(mixed, ["key", "sizes"], "left_semi"), "mixed-columns")
+    discard(led)
+    unclear = stash(named.filter(F.col("n") > FEW).select("a", "b").distinct(), "unclear")
     texts = _texts(rows, unclear)
     apart = stash(counted(unclear.withColumn("more", F.lit(True)), texts, words, pct).filter("gram IS NOT NULL"), "apart")
-    discard(led, texts)
-    again = stash(second_pairs(apart, labels, pct), "second-pairs")
+    discard(texts)
+    again = second_pairs(apart, labels, pct).unionByName(few_pairs(named.filter(F.col("n") <= FEW), pct)).distinct()
+    again = stash(within_reach(again, sets, pct), "second-pairs")
+    discard(marked, named, apart)
     second = counted(again.withColumn("more", F.lit(False)), _texts(rows, again), words, pct)
     links = links.unionByName(second.filter("linked").select("a", "b"))
     labels = components(stash(links, "all-links"))

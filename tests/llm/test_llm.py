@@ -6,6 +6,7 @@ import re
 import time
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import duckdb
 import numpy as np
@@ -148,6 +149,69 @@ def test_join_equals_brute_force(spark, n, pct):
     assert got == brute_groups(texts, n, pct)
 
 
+def unlike(rows, shared, own):
+    """Texts of so many shared three-word shingles before so many of their own."""
+    return {i: " ".join([*(f"s{k}" for k in range(shared + 2)), *(f"u{i}x{k}" for k in range(own))]) for i in range(rows)}
+
+
+@pytest.mark.parametrize("few", [0, 64])
+def test_pairs_that_only_share_columns_are_not_counted(spark, monkeypatch, few):
+    texts = unlike(30, 64, 16) | {100 + i: t + " end" for i, t in unlike(3, 64, 16).items()}
+    pairs, plain = [], ngram_join.counted
+
+    def counted(some, *args):
+        pairs.append(some.count())
+        return plain(some, *args)
+
+    monkeypatch.setattr(ngram_join, "counted", counted)
+    monkeypatch.setattr(ngram_join, "FEW", few, raising=False)
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.jaccard_groups(docs, words=3, pct=80).collect()}
+    assert got == brute_groups(texts, 3, 80) and got[102][1] == 2
+    assert pairs[0] < 15 and (not few or sum(pairs) < 30)
+
+
+def test_columns_of_one_prefix_are_not_written(spark, monkeypatch):
+    texts = unlike(300, 0, 100) | {1000 + i: t + " end" for i, t in unlike(3, 0, 100).items()}
+    rows, plain = {}, ngram_join.stash
+
+    def stash(df, label):
+        out = plain(df, label)
+        rows[label] = out.count()
+        return out
+
+    monkeypatch.setattr(ngram_join, "stash", stash)
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in ngram_join.jaccard_groups(docs).collect()}
+    assert got == {i: i % 1000 for i in texts}
+    assert 0 < rows["shared-columns"] <= rows["columns"] < 200
+
+
+def test_shuffle_files_of_a_table_go(spark):
+    conf, key = spark.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = conf.get(key, None)
+    folders = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
+    held = lambda: {p for d in folders for p in Path(d).rglob("shuffle_*.data")}
+    first = held()
+    out = ngram_join.stash(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count(), "sevens")
+    for _ in range(50):
+        if held() <= first:
+            break
+        time.sleep(0.1)
+    assert not held() - first
+    assert out.count() == 7 and conf.get(key, None) == before
+
+
+def test_parity_maps_bound_differences():
+    rng = np.random.default_rng(5)
+    for _ in range(200):
+        x = np.unique(rng.integers(0, 1 << 64, rng.integers(1, 400), dtype=np.uint64))
+        y = np.unique(np.r_[x[rng.random(len(x)) < rng.random()], rng.integers(0, 1 << 64, rng.integers(0, 300), dtype=np.uint64)])
+        p, q = ngram_join.parity_map(x), ngram_join.parity_map(y)
+        assert ngram_join.least_apart(p, q) == ngram_join.least_apart(q, p) <= len(np.setxor1d(x, y))
+        assert ngram_join.least_apart(p, p) == 0
+
+
 def test_repeated_and_null_ids_keep_unlike_texts(spark):
     a, b, c, d, e = ([f"{x}{i}" for i in range(60)] for x in "abcde")
     near = lambda t: " ".join([*t[:59], "other"])
