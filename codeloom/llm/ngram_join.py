@@ -14,7 +14,7 @@ counted in full.
 
 Many rows may share a column. One of them, the row that shares most columns with others, leads: its overlaps with all
 of them are counted first. Where the others do not all link to one group, all pairs of a column of few rows are
-formed, and held against the parity maps as before. In a column of many rows, the overlap of two of them, x and y, follows
+formed, and held against the parity maps, folded to one size, before any is written. In a column of many rows, the overlap of two of them, x and y, follows
 from their differences from the leader, dx and dy: x and y differ in |dx| + |dy| - 2 |dx & dy| n-grams. If that meets
 the bound without a common difference, both meet it with the leader too; else they share at least one n-gram of a
 prefix of their differences, and only such pairs, of rows that links have not yet brought together, are counted. So a
@@ -51,7 +51,9 @@ SLOT_BITS, CHUNK_BITS, ADDED = 20, 14, 256
 #: in chunks; in so many rounds.
 MARK_BITS, MOST_MARK_BITS, MARKED_BITS, ROUNDS = 26, 29, 16, 2
 #: Columns of at most so many rows have all their pairs formed where the leader's do not settle them.
-FEW = 32
+FEW = 1024
+#: Parity maps have so many bits at least; rows are paired by maps folded to them, so many rows at a time.
+FOLD_BITS, PAIRED = 512, 1 << 15
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -138,9 +140,9 @@ def set_sums(grams: np.ndarray) -> tuple[int, int]:
 
 
 def parity_map(grams: np.ndarray) -> bytes:
-    """As many bits as the set has columns, up to a power of two (64 at least), each set if an odd number of columns
-    has its number as their last bits. A map folds to half its size by the exclusive or of its halves."""
-    m = max(64, 1 << (len(grams) - 1).bit_length()) if len(grams) else 64
+    """As many bits as the set has columns, up to a power of two (FOLD_BITS at least), each set if an odd number of
+    columns has its number as their last bits. A map folds to half its size by the exclusive or of its halves."""
+    m = max(FOLD_BITS, 1 << (len(grams) - 1).bit_length()) if len(grams) else FOLD_BITS
     return np.packbits((np.bincount((grams & U(m - 1)).astype(np.int64), minlength=m) & 1).astype(np.uint8), bitorder="little").tobytes()
 
 
@@ -384,12 +386,71 @@ def second_pairs(prefixes: DataFrame, labels: DataFrame, pct: int) -> DataFrame:
     return joined.select(F.least("x_id", "y_id").alias("a"), F.greatest("x_id", "y_id").alias("b")).distinct()
 
 
-def few_pairs(named: DataFrame, pct: int) -> DataFrame:
-    """Pairs (a, b) of rows of different groups, of those (key, sizes, b, pos, size, comp) that share a column, whose
-    sizes and places there may meet the bound."""
-    x = named.select("key", "sizes", F.col("b").alias("x"), F.col("pos").alias("pos_a"), F.col("size").alias("size_a"), F.col("comp").alias("comp_a"))
-    joined = named.join(x, ["key", "sizes"]).filter((F.col("x") < F.col("b")) & (F.col("comp_a") != F.col("comp")) & _reachable(pct))
-    return joined.select(F.col("x").alias("a"), "b").distinct()
+def folded(sets: DataFrame) -> DataFrame:
+    """(node, fold) of rows (id, parity): the parity map, folded to FOLD_BITS."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            maps = (np.frombuffer(p, U).reshape(-1, FOLD_BITS // 64) for p in batch.column(1).to_pylist())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([np.bitwise_xor.reduce(m).tobytes() for m in maps], pa.binary())], ["node", "fold"])
+
+    return sets.select("id", "parity").mapInArrow(run, "node long, fold binary")
+
+
+def near_rows(group: np.ndarray, b: np.ndarray, pos: np.ndarray, size: np.ndarray, comp: np.ndarray, fold: np.ndarray, pct: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows of one group, rows of which follow each other, but of different components, that may meet the bound by their sizes,
+    their places in the shared column and their folded parity maps."""
+    starts = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
+    left = np.repeat(np.r_[starts[1:], len(group)], np.diff(np.r_[starts, len(group)])) - np.arange(len(group))
+    found, x = [], np.arange(len(group))
+    for apart in range(1, int(left.max(initial=0))):
+        x = x[left[x] > apart]
+        y = x + apart
+        both, most = size[x] + size[y], np.minimum(pos[x], pos[y]) + np.minimum(size[x] - pos[x], size[y] - pos[y])
+        may = (comp[x] != comp[y]) & (b[x] != b[y]) & ((100 + pct) * most >= pct * both) & (100 * np.minimum(size[x], size[y]) >= pct * np.maximum(size[x], size[y]))
+        u, v = x[may], y[may]
+        near = np.bitwise_count(fold[u] ^ fold[v]).sum(axis=1, dtype=np.int64) <= both[may] * (100 - pct) // (100 + pct)
+        found.append(np.stack((b[u[near]], b[v[near]])))
+    pairs = np.concatenate([np.zeros((2, 0), dtype=np.int64), *found], axis=1)
+    return pairs.min(axis=0), pairs.max(axis=0)
+
+
+def few_pairs(named: DataFrame, sets: DataFrame, pct: int) -> DataFrame:
+    """Pairs (a, b) of rows of different groups, of those (key, sizes, b, pos, size, comp) that share a column, that may
+    meet the bound by their sizes, their places there and their folded parity maps.
+
+    Each row is shuffled once, with its map, and no pair is that fails; a column has at most FEW rows.
+    """
+    names = ["key", "sizes", "b", "pos", "size", "comp"]
+
+    @tidy
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def paired(last: bool) -> Iterator[pa.RecordBatch]:
+            """Pairs of the rows held so far, but for those of a group that may go on: they stay."""
+            rows = pa.Table.from_batches(held).combine_chunks()
+            key, sizes, b, pos, size, comp = (rows.column(c).to_numpy().astype(np.int64) for c in names)
+            new = np.r_[True, (key[1:] != key[:-1]) | (sizes[1:] != sizes[:-1])]
+            end = len(key) if last else int(np.flatnonzero(new)[-1])
+            held[:] = rows.slice(end).to_batches()
+            if end:
+                fold = np.frombuffer(b"".join(rows.column("fold").slice(0, end).to_pylist()), U).reshape(end, -1)
+                pairs = near_rows(np.cumsum(new)[:end], b[:end], pos[:end], size[:end], comp[:end], fold, pct)
+                yield pa.RecordBatch.from_arrays([pa.array(p, pa.int64()) for p in pairs], ["a", "b"])
+
+        n = 0
+        for batch in batches:
+            held.append(batch)
+            n += batch.num_rows
+            if n >= PAIRED:
+                yield from paired(False)
+                n = 0
+        if held:
+            yield from paired(True)
+
+    rows = named.join(folded(sets), F.col("b") == F.col("node")).select(*names, "fold")
+    return rows.repartition("key", "sizes").sortWithinPartitions("key", "sizes").mapInArrow(run, "a long, b long").distinct()
 
 
 def _sized(ids: DataFrame) -> DataFrame:
@@ -450,7 +511,7 @@ def _groups(rows: DataFrame, words: int, pct: int) -> DataFrame:
     texts = _texts(rows, unclear)
     apart = stash(counted(unclear.withColumn("more", F.lit(True)), texts, words, pct).filter("gram IS NOT NULL"), "apart")
     discard(texts)
-    again = second_pairs(apart, labels, pct).unionByName(few_pairs(named.filter(F.col("n") <= FEW), pct)).distinct()
+    again = second_pairs(apart, labels, pct).unionByName(few_pairs(named.filter(F.col("n") <= FEW), sets, pct)).distinct()
     again = stash(within_reach(again, sets, pct), "second-pairs")
     discard(marked, named, apart)
     second = counted(again.withColumn("more", F.lit(False)), _texts(rows, again), words, pct)

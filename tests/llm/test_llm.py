@@ -171,6 +171,38 @@ def test_pairs_that_only_share_columns_are_not_counted(spark, monkeypatch, few):
     assert pairs[0] < 15 and (not few or sum(pairs) < 30)
 
 
+def test_texts_that_share_columns_with_many_are_not_joined(spark, monkeypatch):
+    texts = unlike(100, 64, 16) | {1000 + i: t + " end" for i, t in unlike(3, 64, 16).items()}
+    pairs, plain = [], ngram_join.counted
+
+    def counted(some, *args):
+        pairs.append(some.count())
+        return plain(some, *args)
+
+    monkeypatch.setattr(ngram_join, "counted", counted)
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.jaccard_groups(docs, words=3, pct=80).collect()}
+    assert got == brute_groups(texts, 3, 80) and got[1002][1] == 2
+    assert sum(pairs) < 30
+
+
+@pytest.mark.parametrize("at_once", [1, 7, 1 << 15])
+def test_rows_of_a_column_are_paired_by_sizes_places_and_maps(spark, monkeypatch, at_once):
+    monkeypatch.setattr(ngram_join, "PAIRED", at_once)
+    rng = np.random.default_rng(at_once)
+    base = [np.unique(rng.integers(0, 1 << 64, n, dtype=np.uint64)) for n in (40, 600, 2000)]
+    grams = [np.unique(np.r_[base[i % 3][rng.integers(0, 12) :], rng.integers(0, 1 << 64, rng.integers(0, 6), dtype=np.uint64)]) for i in range(60)]
+    rows = [(int(k), 0, i, int(rng.integers(0, 3)), len(grams[i]), int(rng.integers(0, 20))) for k in range(9) for i in rng.choice(60, rng.integers(1, 40), replace=False)]
+    sets = spark.createDataFrame([(i, bytearray(ngram_join.parity_map(g))) for i, g in enumerate(grams)], "id long, parity binary")
+    named = spark.createDataFrame(rows, "key long, sizes long, b long, pos int, size int, comp long")
+    got, want = {(r.a, r.b) for r in ngram_join.few_pairs(named, sets, 90).collect()}, set()
+    for k, _, i, p, m, c in rows:
+        for _, _, j, q, n, d in (r for r in rows if r[0] == k and r[2] > i and r[5] != c):
+            if 100 * len(np.intersect1d(grams[i], grams[j])) >= 90 * len(np.union1d(grams[i], grams[j])) and 190 * (min(p, q) + min(m - p, n - q)) >= 90 * (m + n):
+                want.add((i, j))
+    assert len(want) > 20 and want <= got and len(got) < 4 * len(want)
+
+
 def test_columns_of_one_prefix_are_not_written(spark, monkeypatch):
     texts = unlike(300, 0, 100) | {1000 + i: t + " end" for i, t in unlike(3, 0, 100).items()}
     rows, plain = {}, ngram_join.stash
