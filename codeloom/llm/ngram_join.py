@@ -14,7 +14,10 @@ counted in full.
 
 Many rows may share a column. One of them, the row that shares most columns with others, leads: its overlaps with all
 of them are counted first. Where the others do not all link to one group, all pairs of a column of few rows are
-formed, and held against the parity maps, folded to one size, before any is written. In a column of many rows, the overlap of two of them, x and y, follows
+formed, and held against the parity maps before any is written. Columns that the same rows share are one for this; and
+at first a row writes one pair only, with the first of those rows that it may link to, so that a group of near copies
+without the leader costs in proportion to its rows, too. The pairs that these links have not brought together come
+next. In a column of many rows, the overlap of two of them, x and y, follows
 from their differences from the leader, dx and dy: x and y differ in |dx| + |dy| - 2 |dx & dy| n-grams. If that meets
 the bound without a common difference, both meet it with the leader too; else they share at least one n-gram of a
 prefix of their differences, and only such pairs, of rows that links have not yet brought together, are counted. So a
@@ -52,8 +55,9 @@ SLOT_BITS, CHUNK_BITS, ADDED = 20, 14, 256
 MARK_BITS, MOST_MARK_BITS, MARKED_BITS, ROUNDS = 26, 29, 16, 2
 #: Columns of at most so many rows have all their pairs formed where the leader's do not settle them.
 FEW = 1024
-#: Parity maps have so many bits at least; rows are paired by maps folded to them, so many rows at a time.
-FOLD_BITS, PAIRED = 512, 1 << 15
+#: Parity maps have so many bits at least; rows are paired by maps folded to so many at most, so many rows or bytes of
+#: maps at a time.
+FOLD_BITS, MOST_FOLD_BITS, PAIRED, PAIRED_BYTES = 512, 1 << 13, 1 << 15, 8 << 20
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -386,38 +390,79 @@ def second_pairs(prefixes: DataFrame, labels: DataFrame, pct: int) -> DataFrame:
     return joined.select(F.least("x_id", "y_id").alias("a"), F.greatest("x_id", "y_id").alias("b")).distinct()
 
 
+def merged_columns(named: DataFrame) -> DataFrame:
+    """(key, sizes, b, pos, size): the rows (key, sizes, b, pos, size, more) with one column for all those of one `sizes`
+    that the same rows share. Its places are those in the first of them, which is the first that any two rows share of them."""
+    one = ["sizes", "rows", "h1", "h2"]
+    held = named.groupBy("key", "sizes").agg(F.count(F.lit(1)).alias("rows"), F.bit_xor(F.xxhash64("b")).alias("h1"), F.bit_xor(F.xxhash64("b", F.lit(1))).alias("h2"))
+    held = stash(held, "column-rows")
+    first = held.groupBy(*one).agg(F.min("key").alias("first"))
+    keys = held.join(first, one).select("key", "sizes", "first")
+    return named.join(keys, ["key", "sizes"]).groupBy(F.col("first").alias("key"), "sizes", "b").agg(F.min("pos").alias("pos"), F.min("size").alias("size"))
+
+
 def folded(sets: DataFrame) -> DataFrame:
-    """(node, fold) of rows (id, parity): the parity map, folded to FOLD_BITS."""
+    """(node, fold) of rows (id, parity): the parity map, folded to MOST_FOLD_BITS at most."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            maps = (np.frombuffer(p, U).reshape(-1, FOLD_BITS // 64) for p in batch.column(1).to_pylist())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([np.bitwise_xor.reduce(m).tobytes() for m in maps], pa.binary())], ["node", "fold"])
+            maps = (np.frombuffer(p, U) for p in batch.column(1).to_pylist())
+            maps = (np.bitwise_xor.reduce(m.reshape(-1, min(len(m), MOST_FOLD_BITS // 64))).tobytes() for m in maps)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(maps, pa.binary())], ["node", "fold"])
 
     return sets.select("id", "parity").mapInArrow(run, "node long, fold binary")
 
 
-def near_rows(group: np.ndarray, b: np.ndarray, pos: np.ndarray, size: np.ndarray, comp: np.ndarray, fold: np.ndarray, pct: int) -> tuple[np.ndarray, np.ndarray]:
+def fold_levels(folds: list[bytes]) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """For each number of words that maps have: the maps of as many words or more, folded to it, and the place of each row there."""
+    words, out = np.array([len(f) // 8 for f in folds]), {}
+    at, maps = np.zeros(0, dtype=np.int64), np.zeros((0, 0), dtype=U)
+    for w in np.unique(words)[::-1].tolist():
+        own = np.flatnonzero(words == w)
+        wider = np.bitwise_xor.reduce(maps.reshape(len(at), -1, w), axis=1) if len(at) else np.zeros((0, w), dtype=U)
+        at, maps = np.r_[at, own], np.concatenate((wider, np.frombuffer(b"".join([folds[k] for k in own.tolist()]), U).reshape(-1, w)))
+        place = np.zeros(len(folds), dtype=np.int64)
+        place[at] = np.arange(len(at))
+        out[w] = place, maps
+    return out
+
+
+def fold_bits_apart(levels: dict[int, tuple[np.ndarray, np.ndarray]], words: np.ndarray, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """The bits in which the maps of rows u and v differ, the longer of them folded to the shorter; some MB at a time."""
+    out, least = np.zeros(len(u), dtype=np.int64), np.minimum(words[u], words[v])
+    for w, (place, maps) in levels.items():
+        at, some = np.flatnonzero(least == w), max(1, (4 << 20) // (8 * w))
+        for i in range(0, len(at), some):
+            k = at[i : i + some]
+            out[k] = np.bitwise_count(maps[place[u[k]]] ^ maps[place[v[k]]]).sum(axis=1, dtype=np.int64)
+    return out
+
+
+def near_rows(group: np.ndarray, b: np.ndarray, pos: np.ndarray, size: np.ndarray, comp: np.ndarray, folds: list[bytes], pct: int, one: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of rows of one group, rows of which follow each other, but of different components, that may meet the bound by their sizes,
-    their places in the shared column and their folded parity maps."""
+    their places in the shared column and their folded parity maps; for `one`, of each row only that with the first such row before it."""
     starts = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
     left = np.repeat(np.r_[starts[1:], len(group)], np.diff(np.r_[starts, len(group)])) - np.arange(len(group))
-    found, x = [], np.arange(len(group))
-    for apart in range(1, int(left.max(initial=0))):
-        x = x[left[x] > apart]
+    found, free = [], np.ones(len(group), dtype=bool)
+    levels, words = fold_levels(folds), np.array([len(f) // 8 for f in folds])
+    for apart in range(int(left.max(initial=0)) - 1, 0, -1):
+        x = np.flatnonzero(left > apart)
         y = x + apart
         both, most = size[x] + size[y], np.minimum(pos[x], pos[y]) + np.minimum(size[x] - pos[x], size[y] - pos[y])
-        may = (comp[x] != comp[y]) & (b[x] != b[y]) & ((100 + pct) * most >= pct * both) & (100 * np.minimum(size[x], size[y]) >= pct * np.maximum(size[x], size[y]))
+        may = free[y] & (comp[x] != comp[y]) & (b[x] != b[y]) & ((100 + pct) * most >= pct * both) & (100 * np.minimum(size[x], size[y]) >= pct * np.maximum(size[x], size[y]))
         u, v = x[may], y[may]
-        near = np.bitwise_count(fold[u] ^ fold[v]).sum(axis=1, dtype=np.int64) <= both[may] * (100 - pct) // (100 + pct)
+        near = fold_bits_apart(levels, words, u, v) <= both[may] * (100 - pct) // (100 + pct)
         found.append(np.stack((b[u[near]], b[v[near]])))
+        if one:
+            free[v[near]] = False
     pairs = np.concatenate([np.zeros((2, 0), dtype=np.int64), *found], axis=1)
     return pairs.min(axis=0), pairs.max(axis=0)
 
 
-def few_pairs(named: DataFrame, sets: DataFrame, pct: int) -> DataFrame:
+def few_pairs(named: DataFrame, sets: DataFrame, pct: int, one: bool = False) -> DataFrame:
     """Pairs (a, b) of rows of different groups, of those (key, sizes, b, pos, size, comp) that share a column, that may
-    meet the bound by their sizes, their places there and their folded parity maps.
+    meet the bound by their sizes, their places there and their folded parity maps; for `one`, a pair for each row of a
+    column at most, with the smallest such row.
 
     Each row is shuffled once, with its map, and no pair is that fails; a column has at most FEW rows.
     """
@@ -435,22 +480,21 @@ def few_pairs(named: DataFrame, sets: DataFrame, pct: int) -> DataFrame:
             end = len(key) if last else int(np.flatnonzero(new)[-1])
             held[:] = rows.slice(end).to_batches()
             if end:
-                fold = np.frombuffer(b"".join(rows.column("fold").slice(0, end).to_pylist()), U).reshape(end, -1)
-                pairs = near_rows(np.cumsum(new)[:end], b[:end], pos[:end], size[:end], comp[:end], fold, pct)
-                yield pa.RecordBatch.from_arrays([pa.array(p, pa.int64()) for p in pairs], ["a", "b"])
+                pairs = near_rows(np.cumsum(new)[:end], b[:end], pos[:end], size[:end], comp[:end], rows.column("fold").slice(0, end).to_pylist(), pct, one)
+                yield pa.RecordBatch.from_arrays([pa.array(p, pa.int64()) for p in np.unique(np.stack(pairs), axis=1)], ["a", "b"])
 
-        n = 0
+        n = size = 0
         for batch in batches:
             held.append(batch)
-            n += batch.num_rows
-            if n >= PAIRED:
+            n, size = n + batch.num_rows, size + batch.nbytes
+            if n >= PAIRED or size >= PAIRED_BYTES:
                 yield from paired(False)
-                n = 0
+                n = size = 0
         if held:
             yield from paired(True)
 
     rows = named.join(folded(sets), F.col("b") == F.col("node")).select(*names, "fold")
-    return rows.repartition("key", "sizes").sortWithinPartitions("key", "sizes").mapInArrow(run, "a long, b long").distinct()
+    return rows.repartition("key", "sizes").sortWithinPartitions("key", "sizes", "b").mapInArrow(run, "a long, b long").distinct()
 
 
 def _sized(ids: DataFrame) -> DataFrame:
@@ -511,15 +555,31 @@ def _groups(rows: DataFrame, words: int, pct: int) -> DataFrame:
     texts = _texts(rows, unclear)
     apart = stash(counted(unclear.withColumn("more", F.lit(True)), texts, words, pct).filter("gram IS NOT NULL"), "apart")
     discard(texts)
-    again = second_pairs(apart, labels, pct).unionByName(few_pairs(named.filter(F.col("n") <= FEW), sets, pct)).distinct()
+    few = stash(merged_columns(named.filter(F.col("n") <= FEW)), "few-rows")
+    discard(named)
+    tried = stash(few_pairs(_several(few, labels), sets, pct, one=True), "tried-pairs")
+    texts = _texts(rows, tried)
+    tested = stash(counted(tried.withColumn("more", F.lit(False)), texts, words, pct), "tested")
+    discard(texts)
+    links = links.unionByName(tested.filter("linked").select("a", "b"))
+    labels = components(links)
+    others = few_pairs(_several(few, labels), sets, pct).join(tried, ["a", "b"], "left_anti")
+    again = second_pairs(apart, labels, pct).unionByName(others).distinct()
     again = stash(within_reach(again, sets, pct), "second-pairs")
-    discard(marked, named, apart)
+    discard(marked, few, tried, apart)
     second = counted(again.withColumn("more", F.lit(False)), _texts(rows, again), words, pct)
     links = links.unionByName(second.filter("linked").select("a", "b"))
     labels = components(stash(links, "all-links"))
     return member.join(labels, F.col("rep") == F.col("node"), "left").select("id", "n_shingles", F.coalesce("label", "rep").alias("component"))
 
 
+def _several(few: DataFrame, labels: DataFrame) -> DataFrame:
+    """Those rows (key, sizes, b, pos, size) with their comp, of columns that rows of several groups share."""
+    named = few.join(labels, F.col("b") == F.col("node"), "left").select(*few.columns, F.coalesce("label", "b").alias("comp"))
+    mixed = named.groupBy("key", "sizes").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).filter("c0 <> c1").select("key", "sizes")
+    return named.join(mixed, ["key", "sizes"], "left_semi")
+
+
 def _reachable(pct: int):
     """Whether two sets that share the columns at pos_a and pos can meet the bound: what comes before those places and
     what comes after them limits their overlap, and so do their sizes."""

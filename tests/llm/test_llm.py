@@ -203,6 +203,50 @@ def test_rows_of_a_column_are_paired_by_sizes_places_and_maps(spark, monkeypatch
     assert len(want) > 20 and want <= got and len(got) < 4 * len(want)
 
 
+def test_near_copies_apart_from_the_leader_are_not_expanded(spark, monkeypatch):
+    base = [f"s{k}" for k in range(100)]
+    texts = {i: " ".join([*base[:i], f"u{i}", *base[i + 1 :]]) for i in range(60)}
+    pairs, plain = [], ngram_join.counted
+
+    def counted(some, *args):
+        pairs.append(some.count())
+        return plain(some, *args)
+
+    monkeypatch.setattr(ngram_join, "counted", counted)
+    monkeypatch.setattr(ngram_join, "_reachable", lambda pct: F.lit(False))  # the leader tells nothing
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = Counter(r.component_id for r in ngram_join.jaccard_groups(docs, words=3, pct=80).collect())
+    assert max(got.values()) >= 50
+    assert sum(pairs) < 300
+
+
+def test_columns_of_the_same_rows_are_paired_once(spark):
+    rows = [(key, sizes, i, key + 10 * i, 500, 0) for sizes in (7, 8) for key in range(3, 40) for i in range(4)]
+    rows += [(key, 7, i, 90, 500, 0) for key in (50, 51) for i in range(3)]
+    named = spark.createDataFrame(rows, "key long, sizes long, b long, pos int, size int, comp long")
+    got = sorted(tuple(r) for r in ngram_join.merged_columns(named).collect())
+    assert got == sorted([(3, sizes, i, 3 + 10 * i, 500) for sizes in (7, 8) for i in range(4)] + [(50, 7, i, 90, 500) for i in range(3)])
+
+
+@pytest.mark.parametrize("one", [False, True])
+def test_pairs_of_a_group_are_few_and_join_it(one):
+    rng = np.random.default_rng(9)
+    base = [np.unique(rng.integers(0, 1 << 64, n, dtype=np.uint64)) for n in (500, 560)]
+    grams = [np.unique(np.r_[base[i % 2][rng.integers(0, 8) :], rng.integers(0, 1 << 64, 3, dtype=np.uint64)]) for i in range(50)]
+    size, b, zero = np.array([len(g) for g in grams]), np.arange(50), np.zeros(50, dtype=np.int64)
+    got = set(zip(*(x.tolist() for x in ngram_join.near_rows(zero, b, zero, size, b, [ngram_join.parity_map(g) for g in grams], 90, one)), strict=True))
+    want = {(i, j) for i in range(50) for j in range(i + 1, 50) if i % 2 == j % 2}
+    assert got == ({(i % 2, i) for i in range(2, 50)} if one else want)
+
+
+def test_maps_of_any_sizes_are_held_against_each_other():
+    rng = np.random.default_rng(4)
+    maps = [ngram_join.parity_map(np.unique(rng.integers(0, 1 << 64, n, dtype=np.uint64))) for n in rng.integers(0, 5000, 40)]
+    u, v = (x.ravel() for x in np.meshgrid(range(40), range(40)))
+    got = ngram_join.fold_bits_apart(ngram_join.fold_levels(maps), np.array([len(m) // 8 for m in maps]), u, v)
+    assert got.tolist() == [ngram_join.least_apart(maps[i], maps[j]) for i, j in zip(u, v, strict=True)]
+
+
 def test_columns_of_one_prefix_are_not_written(spark, monkeypatch):
     texts = unlike(300, 0, 100) | {1000 + i: t + " end" for i, t in unlike(3, 0, 100).items()}
     rows, plain = {}, ngram_join.stash
