@@ -28,15 +28,36 @@ def resolve(refs: DataFrame, symbols: DataFrame, imports: DataFrame) -> DataFram
     return out.select("ref_id", "file_id", "to_name", F.coalesce("id", "import_id", "any_id").alias("to_id"), tier.alias("tier"))
 
 
-def enclosing(points: DataFrame, spans: DataFrame, bucket: int = 64) -> DataFrame:
+def blocks_of(low: Column, high: Column) -> Column:
+    """(level, block) of the blocks that make up the lines from `low` to `high`: block b of level k holds the 2^k lines from
+    b * 2^k. At most two a level, so the logarithm of the lines bounds them."""
+    shifted = lambda x, k: F.call_function("shiftright", x, k)
+
+    def at(k: Column) -> Column:
+        first, end = -shifted(-low, k), shifted(high + 1, k)
+        odd = lambda x: (first < end) & (x.bitwiseAND(F.lit(1)) == 1)
+        ends = F.array(F.when(odd(first), first), F.when(odd(end), end - 1))
+        return F.transform(F.filter(ends, lambda x: x.isNotNull()), lambda x: F.struct(k.alias("level"), x.alias("block")))
+
+    return F.flatten(F.transform(F.sequence(F.lit(0), F.length(F.bin(high - low + 1)) - 1), at))
+
+
+def enclosing(points: DataFrame, spans: DataFrame) -> DataFrame:
     """The smallest span of the same file around each point (point_id, file_id, line): (point_id, span_id), null if none.
 
-    Spans are dealt to line buckets, so the join has two equalities and its rows stay near the overlaps.
+    Spans are cut into blocks of lines that keep the smallest span each, and a line asks the blocks around it, one a level.
+    So rows grow with spans, lines and the logarithm of a span's lines, not with the overlaps.
     """
-    parts = spans.withColumn("b", F.explode(F.sequence(F.floor(F.col("line_start") / bucket), F.floor(F.col("line_end") / bucket))))
-    near = points.withColumn("b", F.floor(F.col("line") / bucket)).join(parts, ["file_id", "b"]).filter("line BETWEEN line_start AND line_end")
-    best = near.groupBy("point_id").agg(F.min(F.struct((F.col("line_end") - F.col("line_start")).alias("w"), "span_id")).alias("best"))
-    return points.select("point_id").join(best, "point_id", "left").select("point_id", F.col("best.span_id").alias("span_id"))
+    ranges = spans.filter("line_start <= line_end").groupBy("file_id", F.col("line_start").cast("long").alias("low"), F.col("line_end").cast("long").alias("high")).agg(F.min("span_id").alias("span_id"))
+    blocks = ranges.select("file_id", F.explode(blocks_of(F.col("low"), F.col("high"))).alias("at"), F.struct((F.col("high") - F.col("low")).alias("w"), "span_id").alias("span"))
+    blocks = blocks.groupBy("file_id", "at.level", "at.block").agg(F.min("span").alias("span"))
+    lines = points.select("file_id", F.col("line").cast("long").alias("line")).distinct()
+    # the highest level is one number
+    asked = lines.join(F.broadcast(blocks.agg(F.max("level").alias("top")))).select("file_id", "line", F.explode(F.sequence(F.lit(0), "top")).alias("level"))
+    found = asked.withColumn("block", F.call_function("shiftright", F.col("line"), F.col("level"))).join(blocks, ["file_id", "level", "block"])
+    best = found.groupBy("file_id", "line").agg(F.min("span").alias("best"))
+    near = points.select("point_id", "file_id", F.col("line").cast("long").alias("line")).join(best, ["file_id", "line"], "left")
+    return near.groupBy("point_id").agg(F.min("best").alias("best")).select("point_id", F.col("best.span_id").alias("span_id"))
 
 
 def overlapping(hunks: DataFrame, spans: DataFrame, bucket: int = 64) -> DataFrame:
