@@ -10,6 +10,8 @@ import pyarrow.fs as fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.graph import _checkpoint
+
 #: Extension to language.
 LANGUAGES = {
     "py": "python", "pyw": "python", "ts": "typescript", "tsx": "typescript", "js": "javascript", "jsx": "javascript",
@@ -173,8 +175,11 @@ def described(files: DataFrame, max_bytes: int | None = None, include_generated:
 
 
 def numbered(keys: DataFrame, key: str, name: str) -> DataFrame:
-    """(key, name): distinct keys numbered from 1 in order, by ranges: counts a range first, then places within it."""
-    ranged = keys.select(key).distinct().repartitionByRange(key).withColumn("_part", F.spark_partition_id())
+    """(key, name): distinct keys numbered from 1 in order, by ranges: counts a range first, then places within it.
+
+    Ranges are sampled and joined anew in each run, so the keys are written with theirs once and read by both steps.
+    """
+    ranged = _checkpoint(keys.select(key).distinct().repartitionByRange(key).withColumn("_part", F.spark_partition_id()))
     counts = {r["_part"]: r["count"] for r in ranged.groupBy("_part").count().collect()}
     before, total = {}, 0
     for part in sorted(counts):

@@ -6,6 +6,7 @@ import time
 from pyspark.sql import functions as F
 
 from codeloom.operators import derive, symbols
+from codeloom.sources import tree
 
 
 def test_smallest_spans_are_found_without_pairs(spark):
@@ -49,3 +50,17 @@ def test_skeleton_rows_make_no_pairs(spark):
     got = derive.skeleton_rows(rows).agg(F.sum(F.col("depth").cast("long")).alias("depth"), F.count("parent_id").alias("n")).first()
     assert time.time() - began < 60  # about 10^9 pairs were made before
     assert got.n == n - 1 and got.depth > 10**9
+
+
+def test_numbers_of_many_ranges_have_no_gaps(spark):
+    n, ranges = 300_000, {"spark.sql.shuffle.partitions": "60", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    old = {k: spark.conf.get(k) for k in ranges}
+    for k, v in ranges.items():
+        spark.conf.set(k, v)
+    try:
+        keys = spark.range(n).select(F.concat(F.lit("k"), F.col("id").cast("string")).alias("key"))
+        got = tree.numbered(keys, "key", "n").toPandas().sort_values("key")
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert list(got["key"]) == sorted(f"k{i}" for i in range(n)) and list(got["n"]) == list(range(1, n + 1))
