@@ -64,3 +64,39 @@ def test_numbers_of_many_ranges_have_no_gaps(spark):
         for k, v in old.items():
             spark.conf.set(k, v)
     assert list(got["key"]) == sorted(f"k{i}" for i in range(n)) and list(got["n"]) == list(range(1, n + 1))
+
+
+def test_overlaps_equal_those_of_all_pairs(spark):
+    rng = random.Random(9)
+    wide = lambda: rng.choice((-2, 0, 1, 5, 30, 200))
+    spans = [(i % 230, i % 3, a, a + wide()) for i in range(300) for a in [rng.randrange(-20, 300)]] + [(500, 1, None, 4), (501, None, 1, 4)]
+    hunks = [(i % 150, i % 4, a, a + wide()) for i in range(400) for a in [rng.randrange(-20, 300)]] + [(600, 1, 3, None), (601, None, 1, 4)]
+    made = symbols.overlapping(spark.createDataFrame([(*h[:2], h[2], h[3]) for h in hunks], "hunk_id long, file_id long, start long, end int"), spark.createDataFrame(spans, "span_id long, file_id long, line_start int, line_end long")).collect()
+    want = {(h, s) for h, f, a, b in hunks for s, g, p, q in spans if None not in (f, a, b, g, p, q) and f == g and a <= q and b >= p}
+    assert len(made) == len(want) and {tuple(r) for r in made} == want
+
+
+def shuffled_rows(spark) -> int:
+    """Rows that all stages so far have written to shuffles."""
+    jvm, sc = spark._jvm, spark.sparkContext
+    stages = sc._jsc.sc().statusStore().stageList(jvm.java.util.ArrayList(), False, False, sc._gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
+    return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+
+def test_overlaps_are_not_moved(spark):
+    n = 6000
+    spans = spark.range(n).select(F.col("id").alias("span_id"), F.lit(1).alias("file_id"), (F.col("id") % 7).alias("line_start"), (F.col("id") % 7 + 20).alias("line_end"))
+    hunks = spark.range(n).repartition(4).select(F.col("id").alias("hunk_id"), F.lit(1).alias("file_id"), (F.col("id") % 20).alias("start"), (F.col("id") % 20 + 2).alias("end"))
+    began = shuffled_rows(spark)
+    pairs = symbols.overlapping(hunks, spans).agg(F.count("hunk_id"), F.sum("span_id")).first()
+    assert pairs[0] > 30_000_000 and shuffled_rows(spark) - began < 3_000_000
+
+
+def test_history_rows_are_not_moved(spark):
+    n = 4000
+    spans = spark.range(n).select(F.col("id").alias("symbol_id"), F.lit(1).alias("file_id"), (F.col("id") % 7).alias("line_start"), (F.col("id") % 7 + 20).alias("line_end"))
+    hunks = spark.range(n).repartition(4).select(F.col("id").alias("commit_sha"), F.lit(1).alias("file_id"), (F.col("id") % 20 + 1).alias("new_start"), F.lit(3).alias("new_lines"), (F.col("id") % 2 == 0).alias("is_file_addition"), F.lit(1).alias("lines_added"), F.lit(0).alias("lines_removed"), F.to_timestamp(F.lit("2025-01-01")).alias("committed_at"))
+    began = shuffled_rows(spark)
+    rows = derive.history_rows(hunks, spans, F.lit("2026-01-01").cast("date")).groupBy("match_strategy").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("symbol_id") + F.col("commit_sha") + F.col("confidence")).alias("x")).collect()
+    found = {r.match_strategy: r.n for r in rows}
+    assert found["file-addition"] == n * n // 2 and found["overlap"] > 5_000_000 and shuffled_rows(spark) - began < 3_000_000
