@@ -22,6 +22,8 @@ CONFIG_KEY = "key string, source string, line int"
 RECORD = f"symbols array<struct<{SYMBOL}>>, calls array<struct<{CALL}>>, imports array<string>, routes array<struct<{ROUTE}>>, service_calls array<struct<{SERVICE_CALL}>>, config_keys array<struct<{CONFIG_KEY}>>, error string"
 #: Kinds that can be ranked, and the length to which signatures are cut.
 RANKABLE, SIGNATURE = ("function", "method", "constructor", "class"), 240
+#: Tasks for each core, and files, or characters of them, whose records are handed over at a time.
+DEALS, SOME, LONG = 4, 256, 1_000_000
 
 
 def _names(schema: str) -> list[str]:
@@ -74,8 +76,12 @@ def _symbol(d: L.Definition, first: int, last: int, head: str, body: str) -> dic
 
 def extracted(files: DataFrame) -> DataFrame:
     """(file_id, rel_path, language, symbols, calls, imports, routes, service_calls, config_keys, error), a row a file of
-    `files` (file_id, rel_path, language, content). Files are independent; those of null content have no records."""
-    rows = files.select("file_id", "rel_path", "language", "content")
+    `files` (file_id, rel_path, language, content). Files are independent; those of null content have no records.
+
+    Files are dealt to all cores, as a table of many short ones is read by few tasks.
+    """
+    tasks = DEALS * files.sparkSession.sparkContext.defaultParallelism
+    rows = files.select("file_id", "rel_path", "language", "content").repartition(tasks, "file_id", "rel_path")
     schema = f"file_id long, rel_path string, language string, {RECORD}"
     target = files.sparkSession.createDataFrame([], schema).schema
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -84,11 +90,17 @@ def extracted(files: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            done, size = [], 0
             for row in batch.to_pylist():
                 known = row["language"] in L.LANGUAGES or row["language"] == "python"
                 record = extract(row["language"], row["content"]) if known and row["content"] is not None else {**extract("python", ""), "error": None}
-                head = {"file_id": row["file_id"], "rel_path": row["rel_path"], "language": row["language"]}
-                yield pa.RecordBatch.from_pylist([{**head, **record}], schema=arrow)
+                done.append({"file_id": row["file_id"], "rel_path": row["rel_path"], "language": row["language"], **record})
+                size += len(row["content"] or "")
+                if len(done) >= SOME or size >= LONG:
+                    yield pa.RecordBatch.from_pylist(done, schema=arrow)
+                    done, size = [], 0
+            if done:
+                yield pa.RecordBatch.from_pylist(done, schema=arrow)
 
     return rows.mapInArrow(run, schema)
 

@@ -5,6 +5,7 @@ import time
 
 from pyspark.sql import functions as F
 
+from codeloom.extract import files
 from codeloom.operators import derive, symbols
 from codeloom.sources import tree
 
@@ -100,3 +101,12 @@ def test_history_rows_are_not_moved(spark):
     rows = derive.history_rows(hunks, spans, F.lit("2026-01-01").cast("date")).groupBy("match_strategy").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("symbol_id") + F.col("commit_sha") + F.col("confidence")).alias("x")).collect()
     found = {r.match_strategy: r.n for r in rows}
     assert found["file-addition"] == n * n // 2 and found["overlap"] > 5_000_000 and shuffled_rows(spark) - began < 3_000_000
+
+
+def test_short_files_of_one_partition_are_dealt_to_all_cores(spark):
+    n = 700
+    rows = spark.range(n).coalesce(1).select(F.col("id").alias("file_id"), F.concat(F.lit("f"), "id").alias("rel_path"), F.lit("go").alias("language"), F.concat(F.lit("func f"), "id", F.lit("(x int) {\n"), F.repeat(F.lit("// long\n"), F.when(F.col("id") == 5, 200_000).otherwise(1)), F.lit("g(x)\n}\n")).alias("content"))
+    records = files.extracted(rows)
+    assert records.rdd.getNumPartitions() >= 2 * spark.sparkContext.defaultParallelism
+    assert {(r.file_id, r.name, r.caller) for r in files.flat(records, "calls").collect()} == {(i, "g", f"f{i}") for i in range(n)}
+    assert records.count() == n
