@@ -6,7 +6,7 @@ import time
 from pyspark.sql import functions as F
 
 from codeloom.extract import files
-from codeloom.operators import derive, symbols
+from codeloom.operators import derive, evidence, symbols
 from codeloom.sources import tree
 
 
@@ -110,3 +110,17 @@ def test_short_files_of_one_partition_are_dealt_to_all_cores(spark):
     assert records.rdd.getNumPartitions() >= 2 * spark.sparkContext.defaultParallelism
     assert {(r.file_id, r.name, r.caller) for r in files.flat(records, "calls").collect()} == {(i, "g", f"f{i}") for i in range(n)}
     assert records.count() == n
+
+
+def plan_of(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_contributions_are_ranked_within_their_row(spark):
+    rows = spark.createDataFrame([(1, *range(len(evidence.SIGNALS))), (2, *[0] * len(evidence.SIGNALS))], "symbol_id long, " + ", ".join(f"{s} long" for s in evidence.SIGNALS))
+    made = evidence.contributions(rows, 3)
+    assert "Exchange" not in plan_of(made) and "Sort" not in plan_of(made)
+    got = sorted((r.symbol_id, r.place, r.signal, r.value, r.contribution) for r in made.collect())
+    assert [x[:3] for x in got if x[0] == 2] == [(2, k + 1, evidence.SIGNALS[k]) for k in range(3)]
+    sizes = [abs(r.contribution) for r in evidence.contributions(rows).filter("symbol_id = 1").orderBy("place").collect()]
+    assert sizes == sorted(sizes, reverse=True) and len(sizes) == len(evidence.SIGNALS) and [abs(x[4]) for x in got[:3]] == sizes[:3]
