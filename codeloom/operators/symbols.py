@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import dealt
+
+#: How many times as many rows as edges a step further is taken to make, for the number of its tasks.
+FURTHER = 8
 #: Pairs that a task of a join makes, on average, and tasks at most.
 PAIRS_A_TASK, MOST_TASKS = 8_000_000, 10_000
 
@@ -108,12 +112,12 @@ def within_budget(df: DataFrame, size: Column, order: list, budget: int, partiti
     return df.withColumn("_before", F.coalesce(F.sum(size).over(before), F.lit(0))).filter(F.col("_before") < budget).drop("_before")
 
 
-def count_calls(edges: DataFrame, symbols: DataFrame, files: DataFrame) -> DataFrame:
+def count_calls(edges: DataFrame, symbols: DataFrame, files: DataFrame, tasks: int | None = None) -> DataFrame:
     """(symbol_id, sites, callers, caller_files, test_sites, test_files): call sites of each called symbol, distinct callers
-    and their files, and those of test files."""
+    and their files, and those of test files. Three distinct counts make four rows of each, in `tasks` tasks."""
     ends = edges.select(F.col("src").alias("caller_id"), F.col("dst").alias("symbol_id")).join(symbols.select(F.col("symbol_id").alias("caller_id"), "file_id"), "caller_id").join(files.select("file_id", "role"), "file_id")
     in_tests = F.col("role") == "test"
-    return ends.groupBy("symbol_id").agg(F.count(F.lit(1)).alias("sites"), F.count_distinct("caller_id").alias("callers"), F.count_distinct("file_id").alias("caller_files"), F.count(F.when(in_tests, 1)).alias("test_sites"), F.count_distinct(F.when(in_tests, F.col("file_id"))).alias("test_files"))
+    return dealt(ends, tasks, "symbol_id").groupBy("symbol_id").agg(F.count(F.lit(1)).alias("sites"), F.count_distinct("caller_id").alias("callers"), F.count_distinct("file_id").alias("caller_files"), F.count(F.when(in_tests, 1)).alias("test_sites"), F.count_distinct(F.when(in_tests, F.col("file_id"))).alias("test_files"))
 
 
 def first_test_calls(edges: DataFrame, symbols: DataFrame, files: DataFrame) -> DataFrame:
@@ -141,13 +145,14 @@ def drop_for_budget(files: DataFrame, symbols: DataFrame, size: Column, order: l
     return left.drop("_sum", "_used"), kept.drop("_sum", "_k")
 
 
-def rank_tests(edges: DataFrame, tests: DataFrame, limit: int = 30) -> DataFrame:
+def rank_tests(edges: DataFrame, tests: DataFrame, limit: int = 30, tasks: int | None = None) -> DataFrame:
     """The `limit` best tests of each symbol that is no test itself: direct callers among `tests` (test_id) score 100,
     callers through one more symbol 40. (symbol_id, test_id, distance, score, rank), of equal ones the smallest id first."""
-    step = edges.select("src", "dst").distinct()
+    step = dealt(edges.select("src", "dst"), tasks, "src").distinct()
     direct = step.join(tests, F.col("src") == F.col("test_id")).select("test_id", F.col("dst").alias("symbol_id"))
-    further = direct.join(step, F.col("symbol_id") == F.col("src")).select("test_id", F.col("dst").alias("symbol_id"), F.lit(2).alias("distance"))
+    further = dealt(direct, tasks, "symbol_id").join(step, F.col("symbol_id") == F.col("src")).select("test_id", F.col("dst").alias("symbol_id"), F.lit(2).alias("distance"))
     found = direct.withColumn("distance", F.lit(1)).unionByName(further).filter("test_id <> symbol_id").join(tests.select(F.col("test_id").alias("symbol_id")), "symbol_id", "left_anti")
-    best = found.groupBy("symbol_id", "test_id").agg(F.min("distance").alias("distance"))
+    # what a symbol's tests are counted, joined and ranked by is dealt once, in tasks for all the rows that steps make
+    best = dealt(found, tasks and tasks * FURTHER, "symbol_id").groupBy("symbol_id", "test_id").agg(F.min("distance").alias("distance"))
     rank = F.row_number().over(Window.partitionBy("symbol_id").orderBy("distance", "test_id"))
     return best.select("symbol_id", "test_id", "distance", F.when(F.col("distance") == 1, 100).otherwise(40).alias("score"), rank.alias("rank")).filter(F.col("rank") <= limit)

@@ -1,12 +1,15 @@
 """Results of operators on inputs whose pairs are many more than their rows."""
 
 import random
+import re
 import time
 
 from pyspark.sql import functions as F
 
 from codeloom.extract import files
-from codeloom.operators import derive, evidence, symbols
+from codeloom.operators import derive, evidence, history, symbols
+from codeloom.plans import catalogue, views
+from codeloom.plans import indexing  # noqa: F401 - registers its queries
 from codeloom.sources import tree
 
 
@@ -124,3 +127,29 @@ def test_contributions_are_ranked_within_their_row(spark):
     assert [x[:3] for x in got if x[0] == 2] == [(2, k + 1, evidence.SIGNALS[k]) for k in range(3)]
     sizes = [abs(r.contribution) for r in evidence.contributions(rows).filter("symbol_id = 1").orderBy("place").collect()]
     assert sizes == sorted(sizes, reverse=True) and len(sizes) == len(evidence.SIGNALS) and [abs(x[4]) for x in got[:3]] == sizes[:3]
+
+
+def test_history_and_edges_are_held_by_number_of_rows(spark, monkeypatch):
+    data = "/root/testdata/sf0.001"
+    monkeypatch.setattr(views, "ROWS_A_TASK", 500)
+    n = views.table(spark, data, "lineitem").count() // 500 + 1
+    assert n > 10
+    for made in (views.history(spark, data), views.history(spark, data, "symbol_id"), views.edges(spark, data, "dst")):
+        assert made.rdd.getNumPartitions() == n
+    many = re.compile(rf"hashpartitioning\([^()]*, (?:{n}|{n * symbols.FURTHER}|{n * history.PAIRS})\), REPARTITION_BY_NUM")
+    for name in ("q_test_ranking", "q_history", "q_test_edge_synthesis", "q_noise_commits", "q_risk", "q_coupling", "q_coupling_since", "q_call_counts", "q_first_rows_with_totals"):
+        small = catalogue.QUERIES[name](spark, data)
+        assert many.search(plan_of(small)), name
+
+
+def test_dealt_rows_give_the_same_results(spark):
+    rng = random.Random(11)
+    e = spark.createDataFrame([(i, rng.randrange(40), rng.randrange(40)) for i in range(400)], "edge_id long, src long, dst long")
+    s = spark.createDataFrame([(i, i % 7) for i in range(40)], "symbol_id long, file_id long")
+    f = spark.createDataFrame([(i, "test" if i % 3 == 0 else "project") for i in range(7)], "file_id long, role string")
+    h = spark.createDataFrame([(rng.randrange(20), rng.randrange(60), 0) for i in range(300)], "symbol_id long, commit_sha long, committed_at int")
+    named = e.select("edge_id", F.col("src").alias("from_id"), F.when(F.col("dst") % 5 > 0, F.col("dst")).alias("to_id"), F.lit("call").alias("kind"))
+    tests = s.join(f.filter("role = 'test'"), "file_id").select(F.col("symbol_id").alias("test_id"))
+    for run in (lambda n: symbols.rank_tests(e, tests, 3, n), lambda n: symbols.count_calls(e, s, f, n), lambda n: derive.test_edges(derive.test_edges(named, s, f, n), s, f, n), lambda n: history.coupling(h, tasks=n)):
+        plain, dealt = (sorted(map(str, run(n).collect())) for n in (None, 3))
+        assert plain == dealt and plain
