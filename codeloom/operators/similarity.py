@@ -21,6 +21,8 @@ SHAPE = f"(?s)(?:{'|'.join((COMMENT, QUOTED, NAME, NUMBER, OTHER))})"
 FNV_START, FNV_PRIME = 0xCBF29CE484222325, 0x100000001B3
 #: Distinct grams whose votes a task keeps, and rows that it works on at a time.
 MEMO, SOME = 50_000, 64
+#: Values of a block in which all are compared with all of another, and tasks at most.
+BLOCK, MOST_TASKS = 8192, 10_000
 
 
 def shape_tokens(body: Column) -> Column:
@@ -139,14 +141,53 @@ def hamming_pairs(hashes: DataFrame, most: int = 6, blocks: int | None = None) -
     return pairs.filter(first[lead] == F.col("choice")).select("a", "b", F.bit_count(differ).cast("int").alias("distance"))
 
 
+def forest(values: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """(places, places of their parents): a spanning forest of the links between values at most `most` bits apart. Values
+    that have been reached leave, so those that are alike are compared with few others."""
+    rest, left, front = np.arange(len(values)), values, np.zeros(0, dtype=np.int64)
+    children, parents = [front], [front]
+    while len(rest):
+        if not len(front):
+            front, rest, left = rest[:1], rest[1:], left[1:]
+        some, front = front[:SOME], front[SOME:]
+        near = np.bitwise_count(values[some][:, None] ^ left[None, :]) <= most
+        hit = near.any(axis=0)
+        if hit.any():
+            children.append(rest[hit])
+            parents.append(some[near[:, hit].argmax(axis=0)])
+            front = np.concatenate([front, rest[hit]])
+            rest, left = rest[~hit], left[~hit]
+    return np.concatenate(children), np.concatenate(parents)
+
+
+def value_links(values: DataFrame, most: int = 6, size: int = BLOCK) -> DataFrame:
+    """(src, dst): links between distinct values (id) at most `most` bits apart, as many as connect what all of them do.
+
+    Values are dealt to blocks of about `size`; each two blocks are compared in one task, which holds no more than
+    them and returns a forest of their links. All values are compared, their pairs are never rows.
+    """
+    blocks = values.count() // size + 1
+    own = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
+    rows = values.select("id", own.alias("b"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("o"))
+    rows = rows.filter("b <> o") if blocks > 1 else rows  # two blocks have the links within each
+    rows = rows.select("id", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j")).repartition(min(MOST_TASKS, blocks * (blocks + 1) // 2), "i", "j")
+
+    def run(table: pa.Table) -> pa.Table:
+        ids = table.column("id").to_numpy()
+        child, parent = forest(ids.view(np.uint64), most)
+        return pa.table({"src": pa.array(ids[child], pa.int64()), "dst": pa.array(ids[parent], pa.int64())})
+
+    return rows.groupBy("i", "j").applyInArrow(run, "src long, dst long")
+
+
 def duplicate_clusters(hashes: DataFrame, most: int = 6) -> DataFrame:
     """(id, cluster) of the rows (id, hash) that share a cluster with another: values linked by steps of at most `most` bits.
 
-    A cluster is named by its smallest id.
+    A cluster is named by its smallest id. Hashes are written once, as each step would make them from the texts again.
     """
-    known = hashes.filter("hash IS NOT NULL")
-    values = known.select(F.col("hash").alias("id")).distinct()
-    linked = components(values, hamming_pairs(known, most).select(F.col("a").alias("src"), F.col("b").alias("dst")))
+    known = _checkpoint(hashes.filter("hash IS NOT NULL"))
+    values = _checkpoint(known.select(F.col("hash").alias("id")).distinct())
+    linked = components(values, value_links(values, most))
     rows = known.join(linked.withColumnRenamed("id", "hash"), "hash")
     names = rows.groupBy("component").agg(F.min("id").alias("cluster"), F.count(F.lit(1)).alias("members")).filter("members > 1")
     return rows.join(names, "component").select("id", "cluster", "members")

@@ -7,7 +7,7 @@ import time
 from pyspark.sql import functions as F
 
 from codeloom.extract import files
-from codeloom.operators import derive, evidence, history, symbols
+from codeloom.operators import derive, evidence, graph, history, similarity, symbols
 from codeloom.plans import catalogue, views
 from codeloom.plans import indexing  # noqa: F401 - registers its queries
 from codeloom.sources import tree
@@ -153,3 +153,29 @@ def test_dealt_rows_give_the_same_results(spark):
     for run in (lambda n: symbols.rank_tests(e, tests, 3, n), lambda n: symbols.count_calls(e, s, f, n), lambda n: derive.test_edges(derive.test_edges(named, s, f, n), s, f, n), lambda n: history.coupling(h, tasks=n)):
         plain, dealt = (sorted(map(str, run(n).collect())) for n in (None, 3))
         assert plain == dealt and plain
+
+
+def test_clusters_of_blocks_equal_those_of_all_pairs(spark):
+    rng = random.Random(13)
+    base = [rng.getrandbits(64) for _ in range(30)]
+    values = sorted({v ^ sum(1 << b for b in rng.sample(range(64), k)) for v in base for k in (0, 2, 4, 6, 7, 9) for _ in range(4)})
+    values = [v - (1 << 64) if v >> 63 else v for v in values]
+    near = lambda a, b: ((a ^ b) & (2**64 - 1)).bit_count() <= 6
+    label = {v: i for i, v in enumerate(values)}
+    for _ in values:
+        label = {v: min(label[w] for w in values if near(v, w)) for v in values}
+    frame = spark.createDataFrame([(v,) for v in values], "id long")
+    for size in (10_000, 50):
+        links = similarity.value_links(frame, 6, size)
+        assert all(near(r.src, r.dst) for r in links.collect())
+        got = {r.id: r.component for r in graph.components(frame, links).collect()}
+        groups = lambda of: {frozenset(v for v in values if of[v] == x) for x in of.values()}
+        assert groups(got) == groups(label)
+
+
+def test_links_of_alike_values_are_fewer_than_their_pairs(spark):
+    n = 4000  # all within twelve bits: about 5 * 10^6 pairs of at most six
+    frame = spark.range(n).select(F.col("id"), F.col("id").alias("hash"))
+    began = shuffled_rows(spark)
+    got = similarity.duplicate_clusters(frame).groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), F.max("members").alias("m")).collect()
+    assert [tuple(r) for r in got] == [(0, n, n)] and shuffled_rows(spark) - began < 200_000
